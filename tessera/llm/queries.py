@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, packing, quality, rules, token_counts
+from . import bpe, langid, lines, media, near, packing, quality, rules, token_counts
 from .common import table
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_counts, op4_language_id, op5_quality_rules, op7_packing, op8_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_bpe, op3_token_counts, op4_language_id, op5_quality_rules, op6_near_duplicates, op7_packing, op8_line_dedup, op10_quality_classifier)}
 #: Blanks of the line rule, as DuckDB writes them.
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE = {
