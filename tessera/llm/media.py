@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,20 +165,28 @@ def lay_grid(image: Image) -> None:
 
 def scan_blocks(image: Image, scan: Scan) -> tuple[np.ndarray, np.ndarray, int]:
     """Blocks of a scan in order, the scan's component of each, and blocks in a minimum coded unit."""
-    if len(scan.components) == 1:
-        c = image.components[scan.components[0]]
-        cells = c.first + np.arange(c.used_rows)[:, None] * c.columns + np.arange(c.used_columns)[None]
+    shape = tuple((c.first - image.components[0].first, c.rows, c.columns, c.used_rows, c.used_columns, c.h, c.v) for c in (image.components[k] for k in scan.components))
+    cells, which, unit = (few_blocks if sum(x[1] * x[2] for x in shape) < 2000 else block_order)(shape)
+    return cells + image.components[0].first, which, unit
+
+
+def block_order(shape: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    if len(shape) == 1:
+        first, _, columns, used_rows, used_columns, _, _ = shape[0]
+        cells = first + np.arange(used_rows)[:, None] * columns + np.arange(used_columns)[None]
         return cells.reshape(-1), np.zeros(cells.size, np.int64), 1
     parts, which = [], []
-    for place, k in enumerate(scan.components):
-        c = image.components[k]
-        grid = c.first + np.arange(c.rows * c.columns).reshape(c.rows // c.v, c.v, c.columns // c.h, c.h)
-        parts.append(grid.transpose(0, 2, 1, 3).reshape(-1, c.h * c.v))
-        which += [place] * (c.h * c.v)
+    for place, (first, rows, columns, _, _, h, v) in enumerate(shape):
+        grid = first + np.arange(rows * columns).reshape(rows // v, v, columns // h, h)
+        parts.append(grid.transpose(0, 2, 1, 3).reshape(-1, h * v))
+        which += [place] * (h * v)
     cells = np.concatenate(parts, axis=1)
     return cells.reshape(-1), np.tile(which, len(cells)), cells.shape[1]
 
 
+few_blocks = lru_cache(2000)(block_order)
+
+
 # ---------------------------------------------------------------- entropy decoding in lock step
 
 
@@ -332,6 +341,7 @@ def decode_ac_refine(coefficients: np.ndarray, lanes: Lanes, scans: list[Scan],
     where = np.full((len(own), 65), 64, np.int8)
     r, c = np.nonzero(zero)
     where[r, before[r, c]] = c
+    low0, high0 = scans[0].low, scans[0].high
     fixes: list[tuple[np.ndarray, ...]] = []  # (place, from index, to index, bit position, shift): correction bits of nonzero history
     fresh: list[tuple[np.ndarray, ...]] = []
     at, place, stop, end, k, left = lanes.at, lanes.block, lanes.stop, lanes.end, low, np.zeros(len(lanes.at), np.int64)
@@ -368,7 +378,14 @@ def decode_ac_refine(coefficients: np.ndarray, lanes: Lanes, scans: list[Scan],
                 at, place, stop, end, k, left, low, high, shift, table = (x[going] for x in (at, place, stop, end, k, left, low, high, shift, table))
     for block, start, to, bit, by in fixes:
         length = to - start
-        some = np.flatnonzero(length > 0)
+        # blocks that are nonzero throughout the whole band take one bit each, in a row
+        full = (start == low0) & (to == high0 + 1) & (before[block, to] == before[block, start])
+        if full.any():
+            spot = bit[full][:, None] + np.arange(high0 + 1 - low0)
+            add = ((lanes.ahead[spot >> 3] >> (23 - (spot & 7)).astype(np.int32)) & 1) << by[full][:, None].astype(np.int32)
+            band = own[block[full], low0 : high0 + 1]
+            own[block[full], low0 : high0 + 1] = band + np.where(band < 0, -add, add)
+        some = np.flatnonzero((length > 0) & ~full)
         if not len(some):
             continue
         rows = np.repeat(some, length[some])
@@ -502,9 +519,10 @@ def pack(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = padded.reshape(-1)
     some = np.flatnonzero(flat)
     n = flat[some]
-    # a code is moved so that its bit k lies at k in every place it takes
-    rest = (np.repeat(np.cumsum(n), n) - np.arange(1, int(n.sum()) + 1)).astype(np.uint8)
-    bit = (np.repeat(filled.reshape(-1)[some], n) >> rest).astype(np.uint8) & np.uint8(1)
+    # most codes fit 32 bits, which halves what is moved
+    kind = np.uint32 if n.max() <= 32 else np.uint64
+    rest = (np.repeat(np.cumsum(n).astype(np.int32), n) - np.arange(1, int(n.sum()) + 1, dtype=np.int32)).astype(np.uint8)
+    bit = (np.repeat(filled.reshape(-1)[some].astype(kind), n) >> rest).astype(np.uint8) & np.uint8(1)
     return np.packbits(bit), (bits + 7) // 8
 
 
@@ -527,14 +545,24 @@ def marked(stream: np.ndarray, row_bytes: np.ndarray, rows: np.ndarray) -> list[
     return [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
+#: Values of a coefficient or of a difference lie within this; tables are indexed by value + REACH.
+REACH = 512
+SIZE = np.frexp(np.abs(np.arange(-REACH, REACH + 1)).astype(np.float64))[1].astype(np.int64)
+
+
 def sizes(value: np.ndarray) -> np.ndarray:
-    return np.frexp(np.abs(value).astype(np.float64))[1].astype(np.int64)
+    return SIZE[value + REACH]
 
 
 def extra_bits(value: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(value < 0, value + (1 << size) - 1, value).astype(np.uint64)
 
 
+#: Code and length of each value without a run ahead of it; zero has none.
+PLAIN_LENGTH = np.where(SIZE > 0, AC_LENGTH[SIZE] + SIZE, 0)
+PLAIN_CODE = AC_CODE[SIZE] << SIZE.astype(np.uint64) | extra_bits(np.arange(-REACH, REACH + 1), SIZE)
+
+
 def encode_dc_first(blocks: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows are restart intervals [interval, block]: differences within a component start afresh in each; here a unit of 4 + 1 + 1 blocks."""
     value = blocks[..., 0] >> shift
@@ -549,18 +577,19 @@ def encode_ac_first(blocks: np.ndarray, low: int, high: int, shift: int) -> tupl
     value = np.sign(band) * (np.abs(band) >> shift)
     n, width = value.shape
     there = value != 0
-    index = np.where(there, np.arange(width), -1)
-    last = np.maximum.accumulate(np.concatenate([np.full((n, 1), -1), index], axis=1), axis=1)
-    run = np.arange(width) - last[:, :-1] - 1
-    size = sizes(value)
-    symbol = np.where(there, (run & 15) << 4 | size, 0)
-    code, length = AC_CODE[symbol] << size.astype(np.uint64) | extra_bits(value, size), AC_LENGTH[symbol] + size
-    for k in range(1, 4):  # runs of sixteen zeros ahead of the symbol
-        longer = there & (run >> 4 >= k)
-        if longer.any():
-            code[longer] |= AC_CODE[0xF0] << length[longer].astype(np.uint64)
-            length[longer] += AC_LENGTH[0xF0]
-    length[~there] = 0
+    index = np.where(there, np.arange(width, dtype=np.int8), np.int8(-1))
+    last = np.maximum.accumulate(np.concatenate([np.full((n, 1), -1, np.int8), index], axis=1), axis=1)
+    code, length = PLAIN_CODE[value + REACH], PLAIN_LENGTH[value + REACH]
+    r, c = np.nonzero(there & (last[:, :-1] != np.arange(-1, width - 1, dtype=np.int8)))
+    if len(r):  # zeros ahead
+        run, size = c - last[r, c] - 1, sizes(value[r, c])
+        symbol = (run & 15) << 4 | size
+        own, long = AC_CODE[symbol] << size.astype(np.uint64) | extra_bits(value[r, c], size), AC_LENGTH[symbol] + size
+        for k in range(1, 4):  # runs of sixteen zeros ahead of the symbol
+            longer = run >> 4 >= k
+            own[longer] |= AC_CODE[0xF0] << long[longer].astype(np.uint64)
+            long[longer] += AC_LENGTH[0xF0]
+        code[r, c], length[r, c] = own, long
     ended = last[:, -1] < width - 1
     return np.concatenate([code, np.full((n, 1), AC_CODE[0], np.uint64)], axis=1), np.concatenate([length, np.where(ended, AC_LENGTH[0], 0)[:, None]], axis=1)
 
