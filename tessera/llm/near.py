@@ -7,11 +7,13 @@ branch further. Nodes that are still large at the last depth hold near copies of
 node's first document, and members that turn out not to belong to it are compared with the whole node. All candidates are confirmed on the full
 sets; only confirmed links count.
 
-Confirming: candidates are joined to provisional components, each document is confirmed against the first of its component, and candidates that touch
-a document which failed there are confirmed one by one. So a group of n copies costs about n confirmations, not n squared.
+Confirming: candidates are joined to provisional components, and the exact similarity of each document to the most central one of its component
+is worked out. Documents that are not linked to the centre are then held against their whole component in tiles of about 96 x 96 texts. As 1 - similarity is
+a metric, a tile whose distances to the centre differ by more than 1 - `share` can hold no link and is left out. So a group of n copies costs about n confirmations,
+pairs are never written out, and no link inside a component is lost.
 
-Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. With 20 trees and the usual depth of 3, pairs at
-exactly 0.8 are missed about once in 1.6 million; at depth 7 once in 90.
+Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Nodes begin at a depth of 3 tokens, where 20 trees miss pairs at
+exactly 0.8 about once in 1.6 million; at depth 6, the last, once in 430. Deeper nodes arise only where more than `LEAF` documents share all tokens so far.
 
 Texts without words are linked with nothing. Rows with a null id have a null component and are kept. Rows that share an id are
 one document.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
 
-TREES, LEAF, DEPTHS, FUNCTIONS = 20, 32, 6, 128
+TREES, LEAF, DEPTHS, FUNCTIONS = 20, 32, 4, 128
 #: Of 128 sketch bits, so many agree at least: pairs at 0.8 agree on 115 with a deviation of 3.4.
 LEAST_BITS = 100
 _K = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -69,12 +71,12 @@ def minwise(own: np.ndarray) -> np.ndarray:
 
 
 def paths(tokens: np.ndarray, trees: int) -> np.ndarray:
-    """Node keys [depth, document, tree]; the first node already lies two tokens deep."""
+    """Node keys [depth, document, tree]; the first node already lies three tokens deep."""
     n = len(tokens)
     key = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64) * _K[0]), (n, trees)).copy()
     out = np.empty((DEPTHS, n, trees), np.uint64)
     row = np.arange(n)[:, None]
-    for depth in range(-1, DEPTHS):
+    for depth in range(-2, DEPTHS):
         selected = (mix(key + _K[1]) % np.uint64(FUNCTIONS)).astype(np.int64)
         key = mix(key * _K[2] ^ tokens[row, selected] + selected.astype(np.uint64))
         if depth >= 0:
@@ -114,53 +116,72 @@ def bits_apart(a, b):
     return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) if isinstance(a, np.ndarray) else F.bit_count(a.bitwiseXOR(b))
 
 
-def leaf_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs inside nodes of at most LEAF rows; a node's rows arrive together, in order of key."""
+def agreement(low1, high1, low2, high2):
+    return 128 - bits_apart(low1, low2) - bits_apart(high1, high2)
 
-    def compare(key, ids, n, low, high) -> pa.RecordBatch:
-        found = [np.zeros((2, 0), np.int64)]
-        for shift in range(1, len(key)):
+
+def compare_nodes(rows: DataFrame) -> DataFrame:
+    """One pass over nodes whose rows arrive together: (node null, a, b, bits) for candidate pairs inside nodes of at most LEAF rows,
+    and (node, a, b, bits) = (key, member, first member, tree) for each row of a larger one."""
+
+    def batch_of(parts: list[tuple[np.ndarray, ...]], null_nodes: bool) -> pa.RecordBatch:
+        node, a, b, bits = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 4))
+        return pa.record_batch([pa.array(node, pa.int64(), mask=np.ones(len(node), bool)) if null_nodes else pa.array(node), pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], ["node", "a", "b", "bits"])
+
+    def compare(key, ids, n, low, high, tree) -> pa.RecordBatch:
+        found = []
+        for shift in range(1, LEAF):
             same = np.flatnonzero(key[shift:] == key[:-shift])
             if not len(same):
                 break
             other = same + shift
             ok = alike(n[same], low[same], high[same], n[other], low[other], high[other]) & (ids[same] != ids[other])
-            found.append(np.stack([ids[same[ok]], ids[other[ok]]]))
-        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            same, other = same[ok], other[ok]
+            found.append((key[same], np.minimum(ids[same], ids[other]), np.maximum(ids[same], ids[other]), agreement(low[same], high[same], low[other], high[other])))
+        return batch_of(found, True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, large, first = None, None, 0  # rows of the last node; the key and first member of a large node that may go on
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
-            last = np.searchsorted(now[0], now[0][-1], "left")  # the last node may go on in the next batch
-            yield compare(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
+            key, ids, tree = now[0], now[1], now[5]
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            size = np.diff(np.append(starts, len(key)))
+            big = size > LEAF
+            heads = ids[starts]
+            if large is not None and key[0] == large:
+                big[0], heads[0] = True, first
+            large, first = (key[-1], heads[-1]) if big[-1] else (None, 0)
+            in_big = np.repeat(big, size)
+            if big.any():
+                yield batch_of([(key[in_big], ids[in_big], np.repeat(heads, size)[in_big], tree[in_big])], False)
+            rest = ~in_big
+            rest[starts[-1] :] = False
+            if rest.any():
+                yield compare(*(x[rest] for x in now))
+            held = None if big[-1] else [x[starts[-1] :] for x in now]
         if held is not None:
             yield compare(*held)
 
-    dealt = rows.select("key", "id", "n", "low", "high").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select("key", "id", "n", "low", "high", "tree").repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(run, "node long, a long, b long, bits int")
 
 
 def walk(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs of all small nodes, and the rows of nodes that stay large at the last depth."""
-    pairs, large = [], None
+    """Candidate pairs (a, b, bits) of all small nodes, and the rows (key, id, first) of nodes that stay large at the last depth."""
+    pairs, rows = [], signed.select("id", "n", "low", "high", F.posexplode("k0").alias("tree", "key"))
     for depth in range(DEPTHS):
-        columns = [f"k{d}" for d in range(max(0, depth - 1), depth + 1)]
-        rows = signed.select("id", "n", "low", "high", F.explode(F.arrays_zip(*columns)).alias("k")).select("id", "n", "low", "high", F.col(f"k.k{depth}").alias("key"), *([F.col(f"k.k{depth - 1}").alias("above")] if depth else []))
-        if large is not None:
-            rows = rows.join(large.select(F.col("key").alias("above")), "above", "left_semi")
-        rows = rows.select("key", "id", "n", "low", "high")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-        large = stored(sizes.where(F.col("size") > LEAF), "nodes")
-        pairs.append(stored(leaf_pairs(rows.join(large, "key", "left_anti")), "pairs"))
+        if depth:
+            rows = large.select("id", "tree").join(signed.select("id", "n", "low", "high", f"k{depth}"), "id").withColumn("key", F.element_at(f"k{depth}", F.col("tree") + 1))
+        found = stored(compare_nodes(rows), "nodes")
+        pairs.append(found.where(F.col("node").isNull()).select("a", "b", "bits"))
+        large = found.where(F.col("node").isNotNull()).select(F.col("node").alias("key"), F.col("a").alias("id"), F.col("b").alias("first"), F.col("bits").alias("tree"))
         if large.isEmpty():
             return union(pairs), None
-    return union(pairs), stored(rows.join(large.select("key", "first"), "key"), "large")
+    return union(pairs), large.select("key", "id", "first")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -187,74 +208,144 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= share * union."""
+#: Distances to a centre fall into so many steps; a block is meant to hold so many documents.
+STEPS, BLOCK = 25, 96
 
-    def make():
-        held: dict[int, np.ndarray] = {}
 
-        def own(i: int, text: bytes) -> np.ndarray:
-            if i not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[i] = shingles(text, words)
-            return held[i]
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of the one list with all of the other."""
+    every = np.concatenate(two)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in two])[:-1]])
+    out = np.empty((len(one), len(two)), np.int64)
+    for k, x in enumerate(one):
+        at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+        out[k] = np.add.reduceat((x[at] == every).astype(np.int64), starts)
+    return out
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            t, u = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            good = []
-            for row in zip(a, b, t, u, strict=True):
-                x, y = own(row[0], row[2]), own(row[1], row[3])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= share * (len(x) + len(y) - both))
-            return batch.select(["a", "b"]).filter(pa.array(good))
 
-        return each
+def connecting(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> list[int]:
+    """Of pairs of ids, the first ones that join what was apart."""
+    parent: dict[int, int] = {}
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return stored(map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), make, "a long, b long"), "links")
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    for k, one, two in zip(pairs.tolist(), a[pairs].tolist(), b[pairs].tolist(), strict=True):
+        if (x := top(one)) != (y := top(two)):
+            parent[y] = x
+            out.append(k)
+    return out
+
+
+def confirm(rows: DataFrame, texts: DataFrame, words: int, least: float, spanning: bool = False) -> DataFrame:
+    """(a, b, similarity) of the texts of role 0 with the other texts in the same tile, from a similarity of `least` on; with `spanning`,
+    only as many of them as connect what all of them connect. Rows are (tile, role, id)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: int | None = None
+        ids: tuple[list[int], list[int]] = ([], [])
+        sets: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def finish() -> pa.RecordBatch:
+            if not (ids[0] and ids[1]):
+                return pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["a", "b", "similarity"])
+            both = overlaps(*sets)
+            size = [np.array([len(x) for x in s]) for s in sets]
+            similarity = both / (size[0][:, None] + size[1][None] - both)
+            a, b = np.repeat(ids[0], len(ids[1])), np.tile(ids[1], len(ids[0]))
+            kept = (a != b) & (similarity.reshape(-1) >= least - 1e-9)
+            if spanning:
+                kept = np.array(connecting(a, b, np.flatnonzero(kept)), np.int64)
+            return pa.record_batch([pa.array(a[kept]), pa.array(b[kept]), pa.array(similarity.reshape(-1)[kept])], ["a", "b", "similarity"])
+
+        for batch in batches:
+            for now, role, i, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                if now != tile:
+                    if tile is not None:
+                        yield finish()
+                    tile, ids, sets = now, ([], []), ([], [])
+                ids[role].append(i)
+                sets[role].append(shingles(text, words))
+        if tile is not None:
+            yield finish()
+
+    # both sides grow with the corpus: sorted and merged at every size
+    dealt = rows.hint("merge").join(texts, "id").select("tile", "role", "id", "text").repartition("tile").sortWithinPartitions("tile", "role")
+    return dealt.mapInArrow(run, "a long, b long, similarity double")
+
+
+#: Similarities to a centre below this are all treated alike.
+LEAST_SHOWN = 0.3
+
+
+def settle(candidates: DataFrame, docs: DataFrame, words: int, share: float, few: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) of all that the candidates connect, and the provisional components."""
+    group = stored(components(candidates), "groups")
+    # these sides grow with the corpus, so the join sorts and merges at every size; a few ids are left to the planner, which knows their size
+    wanted = group.select(F.col("id").alias("doc_id"))
+    texts = docs.where(F.col("doc_id").isNotNull()).join(wanted if few else wanted.hint("merge"), "doc_id", "left_semi")
+    texts = stored(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
+    both = candidates.select(F.col("a").alias("id"), "bits").unionAll(candidates.select(F.col("b").alias("id"), "bits"))
+    weight = both.groupBy("id").agg(F.sum(F.col("bits") - (LEAST_BITS - 1)).alias("weight"))
+    central = group.join(weight, "id").groupBy("component").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"), F.count("*").alias("size"))
+    dealt = group.join(central, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
+    tile = F.xxhash64("component", "block")
+    around = dealt.where("id <> centre")
+    star = around.select(tile.alias("tile"), F.lit(1).alias("role"), "id").unionAll(around.select(tile.alias("tile"), F.lit(0).alias("role"), F.col("centre").alias("id")).distinct())
+    star = stored(confirm(star, texts, words, LEAST_SHOWN).withColumnRenamed("b", "id"), "star")
+    links = star.where(100 * F.col("similarity") >= share - 1e-9).select("a", F.col("id").alias("b"))
+    # the loose ones against the blocks of their component that the triangle inequality leaves
+    placed = group.join(central, "component").join(star.select("id", "similarity"), "id", "left")
+    placed = placed.withColumn("step", F.when(F.col("id") == F.col("centre"), 0).otherwise(F.floor((1 - F.coalesce("similarity", F.lit(0.0))) * STEPS)))
+    placed = placed.select("id", "component", "step", ((F.col("id") != F.col("centre")) & (100 * F.coalesce("similarity", F.lit(0.0)) < share - 1e-9)).alias("loose"))
+    blocks = stored(placed.groupBy("component", "step").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max("loose").alias("loose")), "blocks")
+    placed = stored(placed.join(blocks.drop("loose"), ["component", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "component", "step", "block", "loose"), "placed")
+    from_ = placed.where("loose").select("component", F.col("step").alias("s"), F.col("block").alias("k")).distinct()
+    unknown = int(STEPS * (1 - LEAST_SHOWN)) - 1  # from here on a distance is only known to be at least this
+    reach = int(STEPS * (1 - share / 100)) + 2
+    near = (F.abs(F.col("s") - F.col("step")) <= reach) | ((F.col("s") >= unknown) & (F.col("step") >= unknown - reach)) | ((F.col("step") >= unknown) & (F.col("s") >= unknown - reach))
+    tiles = from_.join(blocks.select("component", "step", "blocks"), "component").where(near)
+    tiles = tiles.select("component", "s", "k", "step", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("tile", F.xxhash64("component", "s", "k", "step", "block"))
+    tiles = stored(tiles, "tiles")
+    one = tiles.select("tile", "component", F.col("s").alias("step"), F.col("k").alias("block")).join(placed.where("loose"), ["component", "step", "block"]).select("tile", F.lit(0).alias("role"), "id")
+    two = tiles.select("tile", "component", "step", "block").join(placed, ["component", "step", "block"]).select("tile", F.lit(1).alias("role"), "id")
+    more = stored(confirm(one.unionAll(two), texts, words, share / 100, spanning=True).select("a", "b"), "links")
+    return links.unionAll(more), group
 
 
 def links(docs: DataFrame, signed: DataFrame, words: int, share: float) -> DataFrame:
     """Confirmed links between documents with different sets, enough of them to connect each class."""
     candidates, large = walk(signed)
+    sketch = lambda name, mark: signed.select(F.col("id").alias(name), *(F.col(c).alias(mark + c) for c in ("n", "low", "high")))
     if large is not None:
-        first = large.join(signed.select(F.col("id").alias("first"), F.col("n").alias("fn"), F.col("low").alias("fl"), F.col("high").alias("fh")), "first")
-        starred = first.where((F.col("id") != F.col("first")) & alike(F.col("n"), F.col("low"), F.col("high"), F.col("fn"), F.col("fl"), F.col("fh")))
-        candidates = union([candidates, starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))])
+        large = stored(large.join(sketch("id", "m_"), "id").join(sketch("first", "f_"), "first"), "large")
+        starred = large.where((F.col("id") != F.col("first")) & alike(*map(F.col, ("m_n", "m_low", "m_high", "f_n", "f_low", "f_high"))))
+        starred = starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), agreement(*map(F.col, ("m_low", "m_high", "f_low", "f_high"))).alias("bits"))
+        candidates = union([candidates, starred])
     candidates = stored(candidates, "candidates")
-
-    def settle(candidates: DataFrame) -> DataFrame:
-        group = stored(components(candidates), "groups")
-        texts = stored(docs.where(F.col("doc_id").isNotNull()).join(group.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
-        star = confirm(group.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), texts, words, share)
-        sure = star.select(F.col("b").alias("id")).unionAll(group.select("component").distinct())
-        loose = group.select("id").join(sure, "id", "left_anti")
-        rest = candidates.join(loose.withColumnRenamed("id", "a"), "a", "left_semi").unionAll(candidates.join(loose.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
-        return star.unionAll(confirm(rest, texts, words, share))
-
-    found = settle(candidates)
+    found, group = settle(candidates, docs, words, share)
     if large is None:
         return found
-    # members of large nodes that are not of the first one's class: against the whole node
-    group = stored(components(found), "groups")
+    # members of large nodes outside the component of the first one: against the whole node
     of = lambda name, out: group.select(F.col("id").alias(name), F.col("component").alias(out))
-    strays = large.join(of("id", "own"), "id", "left").join(of("first", "theirs"), "first", "left").where(~F.coalesce("own", "id").eqNullSafe(F.coalesce("theirs", "first")))
-    strays = stored(strays.select("key", F.col("id").alias("i"), F.col("n").alias("sn"), F.col("low").alias("sl"), F.col("high").alias("sh")), "strays")
+    known = large.join(of("id", "own"), "id", "left").join(of("first", "theirs"), "first", "left")
+    strays = known.where(F.coalesce("own", "id") != F.coalesce("theirs", "first")).select("key", F.col("id").alias("stray"), F.col("own").alias("s_own"), *(F.col(f"m_{c}").alias(f"s_{c}") for c in ("n", "low", "high")))
+    strays = stored(strays, "strays")
     if strays.isEmpty():
         return found
-    more = strays.join(large, "key").where((F.col("i") != F.col("id")) & alike(F.col("n"), F.col("low"), F.col("high"), F.col("sn"), F.col("sl"), F.col("sh")))
-    more = more.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
-    return found.unionAll(settle(stored(more, "candidates")))
+    near = ~F.coalesce("own", "id").eqNullSafe(F.coalesce("s_own", "stray")) & alike(*map(F.col, ("m_n", "m_low", "m_high", "s_n", "s_low", "s_high")))
+    more = strays.join(known, "key").where(near).select(F.least("id", "stray").alias("a"), F.greatest("id", "stray").alias("b"), agreement(*map(F.col, ("m_low", "m_high", "s_low", "s_high"))).alias("bits"))
+    return found.unionAll(settle(stored(more.distinct(), "candidates"), docs, words, share, few=True)[0])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: float = 80.0, trees: int = TREES) -> DataFrame:
     """doc_id, set size, smallest id of the class, and whether the document is that one; a row per row of the input."""
     signed = stored(signatures(docs, words, trees), "signatures")
     classes = stored(signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("first")), "classes")
-    distinct = stored(signed.drop("set_id").where(F.col("n") > 0).join(classes.select(F.col("first").alias("id")), "id", "left_semi"), "distinct")
+    distinct = stored(signed.drop("set_id").where(F.col("n") > 0).join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi"), "distinct")
     group = stored(components(links(docs, distinct, words, share)), "groups")
     whole = classes.join(group.withColumnRenamed("id", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     named = signed.select("id", "n", "set_id").join(whole, "set_id", "left")
