@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import NUMERIC, GatedTable, LeakageError, LogicalType, Table
+from .quantiles import quantile_arrays
 
 ALGORITHM = "sha2-256"
 ATTEMPTS = 100
@@ -78,17 +79,21 @@ def gate(table: Table, guard: DataFrame | None, columns: list[str], salt: str |
 
 
 def robust_limits(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: median, median absolute deviation and mean absolute deviation of each column, in two aggregations."""
-    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in columns))
-    apart = df.join(F.broadcast(medians))  # one row
-    gap = lambda c: F.abs(F.col(c) - F.col(f"med_{c}"))
-    return apart.agg(*(x for c in columns for x in (F.first(f"med_{c}").alias(f"med_{c}"), F.percentile(gap(c), F.lit(0.5)).alias(f"mad_{c}"), F.avg(gap(c)).alias(f"dev_{c}"))))
+    """One row: median, median absolute deviation and mean absolute deviation of each column."""
+    rows = df.count()
+    middle = quantile_arrays(df, {c: F.col(c) for c in columns}, (0.5,), rows=rows)
+    apart = df.join(F.broadcast(df.agg(*(middle[c][0].alias(f"med_{c}") for c in columns))))  # one row
+    gap = {c: F.abs(F.col(c) - F.col(f"med_{c}")) for c in columns}
+    spread = quantile_arrays(apart, gap, (0.5,), rows=rows)
+    return apart.agg(*(x for c in columns for x in (F.first(f"med_{c}").alias(f"med_{c}"), spread[c][0].alias(f"mad_{c}"), F.avg(gap[c]).alias(f"dev_{c}"))))
 
 
 def outlier_filter(df: DataFrame, columns: list[str], threshold: float = 4.0) -> DataFrame:
     """Rows without a robust z score above the threshold; columns that do not vary are skipped."""
     if threshold <= 0:
         raise ValueError("threshold must be positive")
+    if not columns:
+        return df
     limits = robust_limits(df, columns)
     score = lambda c: F.when(F.col(f"mad_{c}") > 0, 0.6745 * F.abs(F.col(c) - F.col(f"med_{c}")) / F.col(f"mad_{c}")).when(F.col(f"dev_{c}") > 0, 0.7979 * F.abs(F.col(c) - F.col(f"med_{c}")) / F.col(f"dev_{c}")).otherwise(0.0)
     bad = reduce(Column.__or__, (F.coalesce(score(c) > threshold, F.lit(False)) for c in columns))

@@ -16,6 +16,7 @@ from ..functions import pii
 from ..plans.model import NUMERIC, TEXT, ColumnProfile, DatetimeStats, LogicalType, NumericStats, Profile, Table, TextStats
 from . import correlate
 from .guard import new_salt
+from .quantiles import quantile_arrays
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 TOP_K, CATEGORY_LIMIT, BINS, SHORT = 20, 50, 10, 64
@@ -34,7 +35,7 @@ def text_of(value: Column, kind: LogicalType) -> Column:
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: count, nulls, distinct, min, max, mean, std and exact interpolated quantiles."""
     x = finite(F.col(column))
-    q = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
+    q = quantile_arrays(df, {column: x}, QUANTILES)[column]
     one = df.agg(F.count(column).alias("n"), F.count_if(F.col(column).isNull()).alias("n_null"), F.count_distinct(column).alias("n_distinct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), q.alias("q"))
     return one.select("*", *(F.col("q")[k].alias(f"q{int(p * 100):02d}") for k, p in enumerate(QUANTILES))).drop("q")
 
@@ -99,13 +100,14 @@ def profile_table(table: Table, top_k: int = TOP_K, category_limit: int = CATEGO
     for name in marked:
         schema.column(name)
     wanted = []
+    quantiles = quantile_arrays(df, {c.name: finite(F.col(c.name)) for c in schema.columns if c.logical_type in NUMERIC and c.name not in marked}, QUANTILES)
     for c in schema.columns:
         x, col = finite(F.col(c.name)), F.col(c.name)
         wanted += [F.count(col).alias(f"{c.name}__n"), F.count_distinct(col).alias(f"{c.name}__d")]
         if c.name in marked:
             continue
         if c.logical_type in NUMERIC:
-            wanted += [F.struct(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("q")).alias(f"{c.name}__s")]
+            wanted += [F.struct(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), quantiles[c.name].alias("q")).alias(f"{c.name}__s")]
         elif c.logical_type is LogicalType.DATETIME:
             wanted += [F.struct(F.min(col).cast("string").alias("min"), F.max(col).cast("string").alias("max")).alias(f"{c.name}__s")]
         elif c.logical_type in TEXT:

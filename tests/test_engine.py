@@ -4,10 +4,12 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import chaos, conditions, evaluate, generate, profile, relate
+from tessera.operators import chaos, conditions, evaluate, generate, guard, profile, quantiles, relate
 from tessera.plans import registry, spec
 from tessera.plans.model import ChaosError, GuardrailError, Profile, Table, require_gated, schema_of
 
@@ -97,3 +99,25 @@ def test_whole_database_from_a_spec(spark, known):
     assert made["customer"].df.agg({"c_custkey": "min"}).first()[0] == 1000
     assert relate.fk_orphans(made["orders"].df, ["o_custkey"], made["customer"].df, ["c_custkey"]).isEmpty()
     assert Table(made["orders"].df, schema_of(made["orders"].df, "orders")).schema.names == known["orders"].schema.names
+
+
+def test_bracketed_quantiles_are_exact(spark):
+    draw = np.random.default_rng(3)
+    n = 30_000
+    columns = {"even": draw.normal(size=n), "ties": np.round(draw.exponential(size=n), 1), "one": np.full(n, 4.0), "mostly": np.where(draw.random(n) < 0.7, 1.0, draw.random(n))}
+    df = spark.createDataFrame(pd.DataFrame(columns)).withColumn("none", F.lit(None).cast("double")).repartition(5)
+    names = [*columns, "none"]
+    for whole in (20, 500, 10**6):
+        made = quantiles.quantile_arrays(df, {c: F.col(c) for c in names}, profile.QUANTILES, whole)
+        row = df.agg(*(made[c].alias(c) for c in names)).first()
+        assert row["none"] is None
+        for c, x in columns.items():
+            np.testing.assert_allclose(row[c], np.quantile(x, profile.QUANTILES), rtol=1e-9)
+
+
+def test_filters_by_spread(spark):
+    flat = spark.createDataFrame([(i, float(x), 7.0) for i, x in enumerate([0, 0, 0, 0, 3])], "id long, x double, same double")
+    assert guard.outlier_filter(flat, ["x", "same"], 1.5).count() == 4
+    assert guard.outlier_filter(flat, [], 1.5).count() == 5
+    nulls = flat.unionAll(spark.createDataFrame([(9, None, None)], "id long, x double, same double"))
+    assert guard.outlier_filter(nulls, ["x"], 1.5).count() == 5
