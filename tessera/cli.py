@@ -29,10 +29,10 @@ def parser() -> argparse.ArgumentParser:
     command("schema", folder, table)
     command("sample", folder, table, rows, seed)
     command("profile", folder, table, rows, seed, out, ("--sensitive", {"nargs": "*", "default": []}), ("--not-sensitive", {"nargs": "*", "default": []}), ("--classify", {"action": "store_true"}))
-    command("generate", loaded, rows, seed, out, ("--format", {"default": "parquet"}), ("--where", {"nargs": "*", "default": []}), ("--outlier", {"type": float}))
+    command("generate", loaded, rows, seed, out, ("--format", {"default": "parquet"}), ("--where", {"nargs": "*", "default": []}), ("--outlier", {"type": float}), ("--similarity", {"type": float}), ("--reference", {}))
     command("report", loaded, ("--data", {"required": True}), ("--tolerance", {"type": float, "default": 0.9}))
     command("chaos", loaded, rows, seed, out, ("--mutator", {"nargs": "+", "default": ["outlier"]}), ("--mode", {"default": "mixed"}), ("--rate", {"type": float, "default": 0.1}), ("--confirm", {"action": "store_true"}), ("--audit", {"action": "store_true"}))
-    command("provision", ("--spec", {"required": True}), folder)
+    command("provision", ("--spec", {"required": True}), folder, ("--stream", {"action": "store_true"}))
     return p
 
 
@@ -52,6 +52,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         known = spec.load_profile(args.profile)
         made = generate.generate_faithful(spark, known, args.rows, args.seed, conditions.parse_conditions(args.where))
         df = guard.outlier_filter(made.df, known.numeric_columns, args.outlier) if args.outlier and known.numeric_columns else made.df
+        if args.similarity:
+            if not args.reference:
+                raise EngineError("--similarity needs --reference, a Parquet table of real rows")
+            df = guard.similar_rows_removed(Table(df, made.schema), spark.read.parquet(args.reference), args.similarity)
         tables.export(Table(df, made.schema), args.format, args.out)
     elif args.command == "report":
         known = spec.load_profile(args.profile)
@@ -70,7 +74,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             show(audit.__dict__)
             return 0 if audit.valid else 1
     elif args.command == "provision":
-        print(provision.provision(spark, spec.load_spec(args.spec), source).render())
+        print(provision.provision(spark, spec.load_spec(args.spec), source, stream=args.stream).render())
     return 0
 
 

@@ -206,18 +206,19 @@ def draw(profile: Profile, name: str, seed: int, position: Column, attempt: Colu
 POSITION = "__position"
 
 
-def positions(spark: SparkSession, rows: int, partitions: int | None = None) -> DataFrame:
+def positions(spark: SparkSession, rows: int, partitions: int | None = None, start: int = 0) -> DataFrame:
     if rows < 0:
         raise GenerationError("rows must not be negative")
-    return spark.range(0, rows, 1, partitions or max(1, min(-(-rows // 500_000), 10_000))).withColumnRenamed("id", POSITION)
+    return spark.range(start, start + rows, 1, partitions or max(1, min(-(-rows // 500_000), 10_000))).withColumnRenamed("id", POSITION)
 
 
-def synthesize(spark: SparkSession, profile: Profile, rows: int, seed: int = 0, conditions: dict[str, Condition] | None = None, copula: bool = True, formats: bool = True, keep_position: bool = False, partitions: int | None = None) -> Table:
+def synthesize(spark: SparkSession, profile: Profile, rows: int, seed: int = 0, conditions: dict[str, Condition] | None = None, copula: bool = True, formats: bool = True, keep_position: bool = False, partitions: int | None = None, start: int = 0) -> Table:
+    """Rows at the positions from `start` on."""
     conditions = conditions or {}
     validate_conditions(conditions, profile.schema)
     at = F.col(POSITION)
     keys = {c for c in profile.schema.primary_key} | {c for f in profile.schema.foreign_keys for c in f.columns}
-    df, uniforms = copula_uniforms(positions(spark, rows, partitions), profile, seed, keys) if copula else (positions(spark, rows, partitions), {})
+    df, uniforms = copula_uniforms(positions(spark, rows, partitions, start), profile, seed, keys) if copula else (positions(spark, rows, partitions, start), {})
     columns = [draw(profile, c.name, seed, at, 0, uniforms, conditions.get(c.name), formats).alias(c.name) for c in profile.schema.columns]
     return Table(df.select(*([at] if keep_position else []), *columns), profile.schema)
 

@@ -137,3 +137,10 @@ def similarity_filter(table: Table, reference: DataFrame, key: str, columns: lis
         raise ValueError("threshold must be positive")
     near = nearest_reference_distance(table, reference, key, columns, within=threshold).where(F.col("distance") < threshold)
     return table.df.join(near.select(key), key, "left_anti").select(*table.df.columns)
+
+
+def similar_rows_removed(table: Table, reference: DataFrame, threshold: float) -> DataFrame:
+    """similarity_filter() over all columns of a table that has no key: equal rows share their distance, so a digest of the row is the key."""
+    names = table.schema.names
+    keyed = table.df.withColumn("__row", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).cast("binary"), 256))
+    return similarity_filter(table.with_df(keyed), reference, "__row", names, threshold).select(*names)

@@ -83,15 +83,19 @@ def key_value(position: Column, kind: LogicalType) -> Column:
     return position.cast(SPARK_TYPES[kind])
 
 
-def generate_related(spark: SparkSession, profiles: dict[str, Profile], rows: dict[str, int] | int, seed: int = 0, bases: dict[str, int] | None = None, keep_position: bool = False) -> dict[str, Table]:
-    """A lazy table for each profile. Single-column parent keys are arithmetic on positions, so a foreign key needs no join."""
+def generate_related(spark: SparkSession, profiles: dict[str, Profile], rows: dict[str, int] | int, seed: int = 0, bases: dict[str, int] | None = None, keep_position: bool = False, block: tuple[str, int, int] | None = None) -> dict[str, Table]:
+    """A lazy table for each profile. Single-column parent keys are arithmetic on positions, so a foreign key needs no join.
+
+    With a block (table, first position, rows) that table has those positions alone, the same rows as in the whole.
+    """
     count = {t: rows if isinstance(rows, int) else rows[t] for t in profiles}
     schemas = {t: p.schema for t, p in profiles.items()}
     bases = bases or {}
     made: dict[str, Table] = {}
     for name in topological_order(schemas):
         schema, at = schemas[name], F.col(POSITION)
-        df = synthesize(spark, profiles[name], count[name], seed, keep_position=True).df
+        start, size = block[1:] if block and block[0] == name else (0, count[name])
+        df = synthesize(spark, profiles[name], size, seed, keep_position=True, start=start).df
         referring = {c for f in schema.foreign_keys if f.referred_table in schemas for c in f.columns}
         own = [c for c in schema.primary_key if c not in referring]
         if own:
@@ -107,6 +111,8 @@ def generate_related(spark: SparkSession, profiles: dict[str, Profile], rows: di
             if len(f.columns) == 1 and parent_keys and f.referred_columns[0] == parent_keys[-1]:
                 df = df.withColumn(f.columns[0], key_value(position_key(where, bases.get(f.referred_table, 0)), schema.column(f.columns[0]).logical_type))
             else:  # composite or natural keys: look the parent's row up by position
+                if block and block[0] == f.referred_table == name:
+                    raise GenerationError(f"{name} refers to itself by a key that no position gives and can't be made in blocks")
                 lookup = (df if f.referred_table == name else made[f.referred_table].df).select(F.col(POSITION).alias("__at"), *(F.col(r).alias(f"__{c}") for c, r in zip(f.columns, f.referred_columns, strict=True)))
                 df = df.withColumn("__at", where).join(lookup, "__at").drop("__at")
                 for c in f.columns:

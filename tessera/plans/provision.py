@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +12,13 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, relate
 from ..operators.generate import POSITION
 from ..operators.guard import gate
-from .model import EngineError, GatedTable, KeyspaceError, Table, require_gated
+from ..sources.tables import load_stream
+from .model import EngineError, GatedTable, GenerationError, KeyspaceError, LogicalType, Profile, Table, TableSchema, require_gated
 from .spec import DENIED, Spec, assert_nonprod_destination, consistency_fingerprint, spec_profiles
 
 
-def generate_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFrame] | None = None) -> dict[str, GatedTable]:
-    """Lazy sealed tables. Shared keys are arithmetic on positions, for children as well, so no key is ever looked up."""
-    profiles = spec_profiles(spec)
+def key_bases(spec: Spec, profiles: dict[str, Profile]) -> dict[str, int]:
+    """First shared primary key of each table that shares one."""
     bases: dict[str, int] = {}
     for t, s in spec.tables.items():
         for c in s.shared_keys:
@@ -26,25 +28,57 @@ def generate_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFr
                 raise KeyspaceError(f"{t}.{c} is a foreign key; share the key that it refers to")
         first = relate.shared_key_bases({t: (s.shared_keys, s.reserved_key_block, s.rows)})
         bases |= {t: v for (_, c), v in first.items() if c in profiles[t].schema.primary_key}
-    made = relate.generate_related(spark, profiles, {t: s.rows for t, s in spec.tables.items()}, spec.seed, bases, keep_position=True)
+    return bases
+
+
+def with_shared_keys(table: Table, name: str, spec: Spec) -> Table:
+    """Shared columns beside the primary key, by position; the position goes."""
+    s, df = spec.tables[name], table.df
+    for (_, c), base in relate.shared_key_bases({name: (s.shared_keys, s.reserved_key_block, s.rows)}).items():
+        if c not in table.schema.primary_key:
+            df = df.withColumn(c, relate.key_value(F.col(POSITION) + base, table.schema.column(c).logical_type))
+    return table.with_df(df.drop(POSITION))
+
+
+def structural(schema: TableSchema) -> tuple[str, ...]:
+    return (*schema.primary_key, *(c for f in schema.foreign_keys for c in f.columns))
+
+
+def generate_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFrame] | None = None) -> dict[str, GatedTable]:
+    """Lazy sealed tables. Shared keys are arithmetic on positions, for children as well, so no key is ever looked up."""
+    profiles = spec_profiles(spec)
+    made = relate.generate_related(spark, profiles, {t: s.rows for t, s in spec.tables.items()}, spec.seed, key_bases(spec, profiles), keep_position=True)
     for t, s in spec.tables.items():
         for x in s.cross_correlations:
             made[t] = correlate(made, spec, t, x)
-    plain = {t: v.with_df(v.df.drop(POSITION)) for t, v in made.items()}
-    for t, s in spec.tables.items():
-        for c, base in relate.shared_key_bases({t: (s.shared_keys, s.reserved_key_block, s.rows)}).items():
-            if c[1] not in profiles[t].schema.primary_key:
-                plain[t] = plain[t].with_df(made[t].df.withColumn(c[1], relate.key_value(F.col(POSITION) + base, profiles[t].schema.column(c[1]).logical_type)).drop(POSITION))
+    plain = {t: with_shared_keys(v, t, spec) for t, v in made.items()}
     sealed = {}
     for t in relate.topological_order({t: v.schema for t, v in plain.items()}):
         if spec.tables[t].fixtures:
             over = relate.overlay_fixtures(plain[t], spec.tables[t].fixtures, spec.tables[t].reserved_key_block, {p: v.df for p, v in plain.items()})
             plain[t] = over.with_df(over.df.drop("is_fixture"))
-        keys = tuple(plain[t].schema.primary_key) + tuple(c for f in plain[t].schema.foreign_keys for c in f.columns)
-        sealed[t] = gate(plain[t], (guards or {}).get(t), list(profiles[t].sensitive), profiles[t].salt, keys)
+        sealed[t] = gate(plain[t], (guards or {}).get(t), list(profiles[t].sensitive), profiles[t].salt, structural(plain[t].schema))
     return sealed
 
 
+def stream_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFrame] | None = None) -> Iterator[tuple[str, GatedTable]]:
+    """(table, sealed block) of at most `chunk_rows` rows each, parents first, at least one block a table. The blocks of a table hold the
+    rows of generate_from_spec(). What needs a whole table can't be made in blocks and is refused before the first one: fixtures, correlations
+    with a parent, and unique texts, which are repaired by their occurrences."""
+    profiles = spec_profiles(spec)
+    bases, rows = key_bases(spec, profiles), {t: s.rows for t, s in spec.tables.items()}
+    for t, s in spec.tables.items():
+        schema = profiles[t].schema
+        texts = [u[0] for u in schema.unique_constraints if len(u) == 1 and u[0] not in structural(schema) and schema.column(u[0]).logical_type is LogicalType.STRING]
+        if s.fixtures or s.cross_correlations or texts:
+            raise GenerationError(f"{t} has fixtures, correlations or unique texts and can't be made in blocks")
+    for t in relate.topological_order({t: p.schema for t, p in profiles.items()}):
+        for start in range(0, max(rows[t], 1), spec.chunk_rows):
+            size = min(spec.chunk_rows, rows[t] - start)
+            made = relate.generate_related(spark, profiles, rows, spec.seed, bases, keep_position=True, block=(t, start, size))[t]
+            yield t, gate(with_shared_keys(made, t, spec), (guards or {}).get(t), list(profiles[t].sensitive), profiles[t].salt, structural(made.schema))
+
+
 def correlate(made: dict[str, Table], spec: Spec, child: str, x) -> Table:
     table = made[child]
     f = next((f for f in table.schema.foreign_keys if f.referred_table == x.parent_table and len(f.columns) == 1), None)
@@ -62,17 +96,23 @@ class ProvisionReport:
     fingerprint: str = ""
 
     def render(self) -> str:
-        return "\n".join([f"{t}: {n} rows, fidelity {'passed' if self.fidelity.get(t) else 'not passed'}" for t, n in self.rows.items()] + [f"fingerprint {self.fingerprint}"])
+        said = {True: ", fidelity passed", False: ", fidelity not passed", None: ""}
+        return "\n".join([f"{t}: {n} rows{said[self.fidelity.get(t)]}" for t, n in self.rows.items()] + [f"fingerprint {self.fingerprint}"])
 
 
-def provision(spark: SparkSession, spec: Spec, sink, deny: tuple[str, ...] = DENIED, guards: dict[str, DataFrame] | None = None, score: bool = True) -> ProvisionReport:
-    """Check the destination, then build and check all tables, and only then write the first."""
+def provision(spark: SparkSession, spec: Spec, sink, deny: tuple[str, ...] = DENIED, guards: dict[str, DataFrame] | None = None, score: bool = True, stream: bool = False) -> ProvisionReport:
+    """Check the destination, then build and check all tables, and only then write the first. With `stream`, blocks are checked and written
+    one by one, the first of a table replacing what was there, and tables are not scored."""
     assert_nonprod_destination(spec.destination, deny)
     if not hasattr(sink, "load"):
         raise EngineError("this destination can't be written")
+    report = ProvisionReport(fingerprint=consistency_fingerprint(spec))
+    if stream:
+        for t, blocks in groupby(stream_from_spec(spark, spec, guards), key=lambda x: x[0]):
+            report.rows[t] = load_stream((b for _, b in blocks), t, sink)
+        return report
     tables = generate_from_spec(spark, spec, guards)
     profiles = spec_profiles(spec)
-    report = ProvisionReport(fingerprint=consistency_fingerprint(spec))
     for t, table in tables.items():
         sink.load(require_gated(table), t)
         report.rows[t] = spec.tables[t].rows + len(spec.tables[t].fixtures)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 from dataclasses import dataclass
 from urllib.parse import quote_plus
 
@@ -56,9 +57,9 @@ class FileSource:
     def sample(self, table: str, rows: int, seed: int = 0) -> Table:
         return Table(sample_rows(self.read(table), rows, seed), self.introspect(table))
 
-    def load(self, gated: GatedTable, table: str) -> None:
+    def load(self, gated: GatedTable, table: str, append: bool = False) -> None:
         require_gated(gated)
-        normalize_for_export(Table(gated.df, gated.schema)).write.mode("overwrite").format(self.format).save(self.path(table))
+        normalize_for_export(Table(gated.df, gated.schema)).write.mode("append" if append else "overwrite").format(self.format).save(self.path(table))
 
 
 #: Engine, default port, URL prefix and the query that samples a table.
@@ -118,17 +119,26 @@ class JdbcSource:
     def sample(self, table: str, rows: int, seed: int = 0) -> Table:
         return Table(self.query(self.sample_sql(table, rows, seed)), self.introspect(table))
 
-    def load(self, gated: GatedTable, table: str) -> None:
+    def load(self, gated: GatedTable, table: str, append: bool = False) -> None:
         require_gated(gated)
         user, password = self.credentials()
         columns = ", ".join(f"{c.name} {DDL_TYPES[c.logical_type]}" for c in gated.schema.columns)
-        writer = normalize_for_export(Table(gated.df, gated.schema)).write.mode("overwrite").format("jdbc")
+        writer = normalize_for_export(Table(gated.df, gated.schema)).write.mode("append" if append else "overwrite").format("jdbc")
         try:
             writer.options(url=self.url(), dbtable=table, user=user, password=password, createTableColumnTypes=columns, truncate="false").save()
         except Exception as e:
             raise SourceError(scrub(str(e), user, password)) from None
 
 
+def load_stream(blocks: Iterable[GatedTable], table: str, sink: FileSource | JdbcSource) -> int:
+    """Load blocks in turn, each a commit of its own: the first replaces the table, the others append. Returns the rows."""
+    rows = 0
+    for k, block in enumerate(blocks):
+        sink.load(block, table, append=k > 0)
+        rows += block.df.count()
+    return rows
+
+
 def normalized(value: Column, kind: LogicalType) -> Column:
     """A value as its logical type says, null where it can't be."""
     if kind is LogicalType.INTEGER:

@@ -19,7 +19,7 @@ def table_blocks(spark: SparkSession, profile: Profile, rows: int, seed: int, bl
         yield at.select(*(draw(profile, c.name, seed, F.col(POSITION)).alias(c.name) for c in profile.schema.columns))
 
 
-def load_stream(spark: SparkSession, gated: GatedTable, path: str) -> None:
+def load_at_once(gated: GatedTable, path: str) -> None:
     """One partitioned write; its tasks are the chunks, and the commit is a single one."""
     require_gated(gated).df.write.mode("overwrite").parquet(path)
 

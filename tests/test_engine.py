@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chaos, conditions, evaluate, generate, guard, profile, quantiles, relate
-from tessera.plans import registry, spec
-from tessera.plans.model import ChaosError, GuardrailError, Profile, Table, require_gated, schema_of
+from tessera import cli
+from tessera.plans import provision, registry, spec
+from tessera.plans.model import ChaosError, EngineError, GenerationError, GuardrailError, Profile, Table, require_gated, schema_of
+from tessera.sources.tables import FileSource, normalize_for_export
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["profile_numeric_orders", "profile_histogram_lineitem", "profile_calendar_events", "spearman_matrix", "cramers_v_orders", "fk_orphans", "normalize_export", "gen_numeric", "gen_text", "rel_junction_pk", "guard_membership", "outlier_filter", "similarity_filter", "chaos_outlier", "chaos_duplicate_keys", "manifest_audit", "ks_complement", "subset_down_up"]
@@ -91,8 +93,6 @@ def test_production_is_refused():
 
 
 def test_whole_database_from_a_spec(spark, known):
-    from tessera.plans import provision
-
     whole = spec.bootstrap_spec(known, seed=4)
     whole.tables["customer"].shared_keys, whole.tables["customer"].reserved_key_block = ["c_custkey"], 1000
     made = provision.generate_from_spec(spark, whole)
@@ -121,3 +121,43 @@ def test_filters_by_spread(spark):
     assert guard.outlier_filter(flat, [], 1.5).count() == 5
     nulls = flat.unionAll(spark.createDataFrame([(9, None, None)], "id long, x double, same double"))
     assert guard.outlier_filter(nulls, ["x"], 1.5).count() == 5
+
+
+def test_blocks_hold_the_rows_of_the_whole(spark, known, tmp_path):
+    whole = spec.bootstrap_spec(known, seed=4)
+    whole.tables["customer"].shared_keys, whole.tables["customer"].reserved_key_block = ["c_custkey"], 1000
+    whole.tables["customer"].rows, whole.tables["orders"].rows, whole.chunk_rows = 70, 100, 30
+    whole.destination = spec.DestinationSpec(environment="nonprod", host="db1")
+    blocks = list(provision.stream_from_spec(spark, whole))
+    assert [(t, b.df.count()) for t, b in blocks] == [("customer", 30), ("customer", 30), ("customer", 10), ("orders", 30), ("orders", 30), ("orders", 30), ("orders", 10)]
+    for chunk_rows in (30, 1000):
+        whole.chunk_rows = chunk_rows
+        sink = FileSource(spark, str(tmp_path))
+        assert provision.provision(spark, whole, sink, stream=True).rows == {"customer": 70, "orders": 100}
+        for t, table in provision.generate_from_spec(spark, whole).items():
+            names = table.schema.names
+            assert sorted(map(str, sink.read(t).select(names).collect())) == sorted(map(str, normalize_for_export(Table(table.df, table.schema)).collect()))
+    whole.tables["orders"].rows = 0
+    assert [(t, b.df.count()) for t, b in provision.stream_from_spec(spark, whole)][-1] == ("orders", 0)
+    whole.tables["customer"].fixtures = [{"c_custkey": 1}]
+    with pytest.raises(GenerationError):
+        next(provision.stream_from_spec(spark, whole))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    profiled, out = str(tmp_path / "p.yaml"), str(tmp_path / "made")
+    run = lambda *words: cli.run(cli.parser().parse_args(list(words)), spark)
+    assert run("profile", "--folder", SF, "--table", "supplier", "--out", profiled) == 0
+    assert run("generate", "--profile", profiled, "--rows", "50", "--out", out, "--similarity", "0.05", "--reference", f"{SF}/supplier.parquet") == 0
+    assert 0 < spark.read.parquet(out).count() <= 50
+    assert run("report", "--profile", profiled, "--data", f"{SF}/supplier.parquet", "--tolerance", "0.1") in (0, 1)
+    assert "quality" in capsys.readouterr().out
+    with pytest.raises(EngineError):
+        run("generate", "--profile", profiled, "--out", out, "--similarity", "0.05")
+
+
+def test_similar_rows_are_removed(spark):
+    reference = spark.createDataFrame([(0.0, "a"), (5.0, "b"), (10.0, "c")], "x double, cat string")
+    made = spark.createDataFrame([(0.001, "a"), (50.0, "z"), (50.0, "z"), (None, None)], "x double, cat string")
+    table = Table(made, schema_of(made, "t"))
+    assert sorted(r["x"] or -1 for r in guard.similar_rows_removed(table, reference, 0.5).collect()) == [-1, 50.0, 50.0]
