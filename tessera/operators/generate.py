@@ -204,12 +204,14 @@ def draw(profile: Profile, name: str, seed: int, position: Column, attempt: Colu
 
 
 POSITION = "__position"
+#: Rows that a task draws, as long as there are not too many tasks; values do not depend on it.
+ROWS_A_TASK = 65_536
 
 
 def positions(spark: SparkSession, rows: int, partitions: int | None = None, start: int = 0) -> DataFrame:
     if rows < 0:
         raise GenerationError("rows must not be negative")
-    return spark.range(start, start + rows, 1, partitions or max(1, min(-(-rows // 500_000), 10_000))).withColumnRenamed("id", POSITION)
+    return spark.range(start, start + rows, 1, partitions or max(1, min(-(-rows // ROWS_A_TASK), 20_000))).withColumnRenamed("id", POSITION)
 
 
 def synthesize(spark: SparkSession, profile: Profile, rows: int, seed: int = 0, conditions: dict[str, Condition] | None = None, copula: bool = True, formats: bool = True, keep_position: bool = False, partitions: int | None = None, start: int = 0) -> Table:

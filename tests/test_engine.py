@@ -161,3 +161,15 @@ def test_similar_rows_are_removed(spark):
     made = spark.createDataFrame([(0.001, "a"), (50.0, "z"), (50.0, "z"), (None, None)], "x double, cat string")
     table = Table(made, schema_of(made, "t"))
     assert sorted(r["x"] or -1 for r in guard.similar_rows_removed(table, reference, 0.5).collect()) == [-1, 50.0, 50.0]
+
+
+def test_numeric_draws_follow_the_bins(spark):
+    from tessera.plans.model import NumericStats
+
+    at = spark.range(1001).select((F.col("id") / 1000).alias("u"))
+    for edges, counts in (([0.0, 1.0, 2.0, 4.0], [1, 0, 3]), ([2.0, 6.0], [5]), ([0.0, 1.0, 2.0], [3, 0])):
+        stats = NumericStats(edges[0], edges[-1], 1.0, 1.0, {}, edges, counts)
+        got = [r[0] for r in at.select(generate.numeric_from_uniform(F.col("u"), stats)).collect()]
+        cdf = np.cumsum([0, *counts]) / sum(counts)
+        for u, x in zip(np.arange(1001) / 1000, got, strict=True):
+            assert min(abs(x - v) for v in edges) < 1e-9 if u in cdf else abs(x - np.interp(u, cdf, edges)) < 1e-9
