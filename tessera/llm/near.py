@@ -1,9 +1,9 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its distinct shingles of `words` words. Equal sets collapse to the document with the smallest id. The others get
-minwise tokens; in each of several independent trees a document walks down a path on which the node reached so far selects the
-token that names the next node. Nodes of at most `LEAF` documents are compared exhaustively on one-bit sketches, larger nodes
-branch further. Nodes that are still large at the last depth hold near copies of one another: each member is held against the
+minwise tokens; in each of several trees a document walks down a path on which the node reached so far selects the
+token that names the next node, out of those of the tree's own hash functions that the path has not used. Nodes of at most `LEAF` documents
+are compared exhaustively on one-bit sketches, larger nodes branch further, and their documents enter more trees. Nodes that are still large at the last depth hold near copies of one another: each member is held against the
 node's first document, and members that turn out not to belong to it are compared with the whole node. All candidates are confirmed on the full
 sets; only confirmed links count.
 
@@ -12,8 +12,11 @@ is worked out. Documents that are not linked to the centre are then held against
 a metric, a tile whose distances to the centre differ by more than 1 - `share` can hold no link and is left out. So a group of n copies costs about n confirmations,
 pairs are never written out, and no link inside a component is lost.
 
-Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Nodes begin at a depth of 3 tokens, where 20 trees miss pairs at
-exactly 0.8 about once in 1.6 million; at depth 6, the last, once in 430. Deeper nodes arise only where more than `LEAF` documents share all tokens so far.
+Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Trees share no hash functions, so n trees miss a pair
+with probability (1 - s^d)^n. Nodes begin at a depth of 3 tokens, in 20 trees. A document of a node of more than `LEAF` goes on to the next depth there
+and in the trees that begin at that depth; 20, 28, 37 and 48 trees at 3, 4, 5 and 6 tokens each miss pairs at exactly 0.8 less than once in
+1.7 million. A pair whose shared nodes were all large is in all trees of the next depth, so all four depths together miss less than once in 500,000 whatever
+the size of the corpus, the sketch filter (once in 500 million) included. Nodes that are large at the last depth lose nothing more.
 
 Texts without words are linked with nothing. Rows with a null id have a null component and are kept. Rows that share an id are
 one document.
@@ -21,6 +24,7 @@ one document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,9 +35,20 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored
 
-TREES, LEAF, DEPTHS, FUNCTIONS = 20, 32, 4, 128
-#: Of 128 sketch bits, so many agree at least: pairs at 0.8 agree on 115 with a deviation of 3.4.
-LEAST_BITS = 100
+TREES, LEAF, DEPTHS, LEVELS = 20, 32, 4, 6
+#: Of 128 sketch bits, so many agree at least: pairs at 0.8 agree on 115 with a deviation of 3.4, and on fewer than these once in 500 million.
+LEAST_BITS = 92
+
+
+def trees_at(trees: int) -> list[int]:
+    """Trees of each depth: so many that pairs at 0.8 are missed no more often than by `trees` trees at the first."""
+    first = LEVELS - DEPTHS + 1
+    miss = trees * math.log1p(-(0.8**first))
+    return [math.ceil(miss / math.log1p(-(0.8**d)) - 1e-9) for d in range(first, LEVELS + 1)]
+
+
+#: Hash functions: each tree has one of its own for each token of a path.
+FUNCTIONS = LEVELS * trees_at(TREES)[-1]
 _K = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -65,22 +80,25 @@ TERMS = _RANDOM.integers(0, 2**63, FUNCTIONS, np.uint64)
 def minwise(own: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set."""
     least = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 256):
-        np.minimum(least, (own[at : at + 256, None] * FACTORS + TERMS).min(axis=0), out=least)
+    for at in range(0, len(own), 128):
+        np.minimum(least, (own[at : at + 128, None] * FACTORS + TERMS).min(axis=0), out=least)
     return least
 
 
-def paths(tokens: np.ndarray, trees: int) -> np.ndarray:
-    """Node keys [depth, document, tree]; the first node already lies three tokens deep."""
-    n = len(tokens)
-    key = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64) * _K[0]), (n, trees)).copy()
-    out = np.empty((DEPTHS, n, trees), np.uint64)
+def paths(tokens: np.ndarray, trees: int) -> list[np.ndarray]:
+    """Node keys [document, tree] of each depth; the first node already lies three tokens deep, and later depths have more trees."""
+    n, count = len(tokens), trees_at(trees)
+    key = np.broadcast_to(mix(np.arange(1, count[-1] + 1, dtype=np.uint64) * _K[0]), (n, count[-1])).copy()
+    left = np.broadcast_to(np.arange(count[-1] * LEVELS).reshape(count[-1], LEVELS), (n, count[-1], LEVELS)).copy()
+    out = []
     row = np.arange(n)[:, None]
-    for depth in range(-2, DEPTHS):
-        selected = (mix(key + _K[1]) % np.uint64(FUNCTIONS)).astype(np.int64)
+    for level in range(LEVELS):
+        at = (level + (mix(key + _K[1]) % np.uint64(LEVELS - level)).astype(np.int64))[:, :, None]
+        selected = np.take_along_axis(left, at, 2)[:, :, 0]
+        np.put_along_axis(left, at, left[:, :, level : level + 1], 2)
         key = mix(key * _K[2] ^ tokens[row, selected] + selected.astype(np.uint64))
-        if depth >= 0:
-            out[depth] = key
+        if (depth := level - LEVELS + DEPTHS) >= 0:
+            out.append(key[:, : count[depth]])
     return out
 
 
@@ -94,11 +112,11 @@ def signatures(docs: DataFrame, words: int, trees: int) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             tokens = np.stack([minwise(s) for s in sets])
-            bits = np.packbits((mix(tokens + _K[0]) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
-            keys = paths(tokens, trees).view(np.int64)
-            ends = pa.array(np.arange(0, (len(sets) + 1) * trees, trees), pa.int32())
+            bits = np.packbits((mix(tokens[:, :128] + _K[0]) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
+            keys = [np.ascontiguousarray(k).view(np.int64) for k in paths(tokens, trees)]
+            ends = [pa.array(np.arange(len(sets) + 1) * k.shape[1], pa.int32()) for k in keys]
             return pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), *(pa.ListArray.from_arrays(ends, pa.array(keys[d].reshape(-1))) for d in range(DEPTHS))],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), *(pa.ListArray.from_arrays(ends[d], pa.array(keys[d].reshape(-1))) for d in range(DEPTHS))],
                 ["id", "n", "set_id", "low", "high", *(f"k{d}" for d in range(DEPTHS))],
             )
 
@@ -170,12 +188,16 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node long, a long, b long, bits int")
 
 
-def walk(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a, b, bits) of all small nodes, and the rows (key, id, first) of nodes that stay large at the last depth."""
+def walk(signed: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a, b, bits) of all small nodes, and the rows (key, id, first) of nodes that stay large at the last depth. Documents of
+    large nodes go on in those trees, and in the trees that begin at the next depth."""
+    count = trees_at(trees)
     pairs, rows = [], signed.select("id", "n", "low", "high", F.posexplode("k0").alias("tree", "key"))
     for depth in range(DEPTHS):
         if depth:
-            rows = large.select("id", "tree").join(signed.select("id", "n", "low", "high", f"k{depth}"), "id").withColumn("key", F.element_at(f"k{depth}", F.col("tree") + 1))
+            on = large.groupBy("id").agg(F.collect_set("tree").alias("on"))  # trees by document, so the join makes a row per document
+            new = F.array(*map(F.lit, range(count[depth - 1], count[depth])))
+            rows = on.join(signed.select("id", "n", "low", "high", f"k{depth}"), "id").withColumn("tree", F.explode(F.concat("on", new))).withColumn("key", F.element_at(f"k{depth}", F.col("tree") + 1))
         found = stored(compare_nodes(rows), "nodes")
         pairs.append(found.where(F.col("node").isNull()).select("a", "b", "bits"))
         large = found.where(F.col("node").isNotNull()).select(F.col("node").alias("key"), F.col("a").alias("id"), F.col("b").alias("first"), F.col("bits").alias("tree"))
@@ -316,13 +338,14 @@ def settle(candidates: DataFrame, docs: DataFrame, words: int, share: float, few
     return links.unionAll(more), group
 
 
-def links(docs: DataFrame, signed: DataFrame, words: int, share: float) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, words: int, share: float, trees: int = TREES) -> DataFrame:
     """Confirmed links between documents with different sets, enough of them to connect each class."""
-    candidates, large = walk(signed)
+    candidates, large = walk(signed, trees)
     sketch = lambda name, mark: signed.select(F.col("id").alias(name), *(F.col(c).alias(mark + c) for c in ("n", "low", "high")))
     if large is not None:
-        large = stored(large.join(sketch("id", "m_"), "id").join(sketch("first", "f_"), "first"), "large")
-        starred = large.where((F.col("id") != F.col("first")) & alike(*map(F.col, ("m_n", "m_low", "m_high", "f_n", "f_low", "f_high"))))
+        large = stored(large.groupBy("id").agg(F.collect_set(F.struct("key", "first")).alias("nodes")).join(sketch("id", "m_"), "id"), "large")
+        apart = large.select("id", "m_n", "m_low", "m_high", F.explode(F.array_distinct("nodes.first")).alias("first"))
+        starred = apart.where("id <> first").join(sketch("first", "f_"), "first").where(alike(*map(F.col, ("m_n", "m_low", "m_high", "f_n", "f_low", "f_high"))))
         starred = starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), agreement(*map(F.col, ("m_low", "m_high", "f_low", "f_high"))).alias("bits"))
         candidates = union([candidates, starred])
     candidates = stored(candidates, "candidates")
@@ -331,7 +354,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, share: float) -> DataF
         return found
     # members of large nodes outside the component of the first one: against the whole node
     of = lambda name, out: group.select(F.col("id").alias(name), F.col("component").alias(out))
-    known = large.join(of("id", "own"), "id", "left").join(of("first", "theirs"), "first", "left")
+    known = large.join(of("id", "own"), "id", "left").select("id", "own", "m_n", "m_low", "m_high", F.inline("nodes")).join(of("first", "theirs"), "first", "left")
     strays = known.where(F.coalesce("own", "id") != F.coalesce("theirs", "first")).select("key", F.col("id").alias("stray"), F.col("own").alias("s_own"), *(F.col(f"m_{c}").alias(f"s_{c}") for c in ("n", "low", "high")))
     strays = stored(strays, "strays")
     if strays.isEmpty():
@@ -346,7 +369,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: float = 80.0, trees:
     signed = stored(signatures(docs, words, trees), "signatures")
     classes = stored(signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("first")), "classes")
     distinct = stored(signed.drop("set_id").where(F.col("n") > 0).join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi"), "distinct")
-    group = stored(components(links(docs, distinct, words, share)), "groups")
+    group = stored(components(links(docs, distinct, words, share, trees)), "groups")
     whole = classes.join(group.withColumnRenamed("id", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     named = signed.select("id", "n", "set_id").join(whole, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

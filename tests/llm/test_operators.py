@@ -1,6 +1,7 @@
 """Each operator against a plain version, a round trip or held-out accuracy; and on odd tables."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -193,6 +194,42 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == plain_components(rows, 2, 80)
 
 
+def pairs_of_tokens(pairs, common):
+    """Tokens of pairs at 0.8 (rows 2k and 2k + 1) of which other rows share about the square of `common`."""
+    rng = np.random.default_rng(6)
+    draw = lambda: rng.integers(0, 2**63, (pairs, near.FUNCTIONS), np.uint64)
+    one = np.where(rng.random((pairs, near.FUNCTIONS)) < common, draw()[:1], draw())
+    two = np.where(rng.random((pairs, near.FUNCTIONS)) < 0.8, one, draw())
+    return np.stack([one, two], axis=1).reshape(2 * pairs, near.FUNCTIONS)
+
+
+@pytest.mark.parametrize("depth", range(near.DEPTHS))
+def test_trees_rarely_miss_a_pair_at_any_depth(depth):
+    keys = near.paths(pairs_of_tokens(5000, 0), near.TREES)[depth]
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
+def test_sketch_filter_rarely_drops_a_pair():
+    assert sum(math.comb(128, k) * 0.9**k * 0.1 ** (128 - k) for k in range(near.LEAST_BITS)) < 1e-6
+
+
+def test_pairs_of_large_nodes_are_found(spark):
+    """All documents share tokens, so that nodes stay large up to the last depth but one."""
+    common.prepare(spark)
+    tokens = pairs_of_tokens(1500, 0.67)
+    bits = np.packbits((near.mix(tokens[:, :128]) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
+    keys = [k.view(np.int64).tolist() for k in map(np.ascontiguousarray, near.paths(tokens, near.TREES))]
+    rows = [(i, 100, *map(int, bits[i]), *(k[i] for k in keys)) for i in range(len(tokens))]
+    signed = common.stored(spark.createDataFrame(rows, "id long, n long, low long, high long, " + ", ".join(f"k{d} array<bigint>" for d in range(near.DEPTHS))), "signed")
+    candidates, large = near.walk(signed)
+    found = {(r["a"], r["b"]) for r in candidates.where("a % 2 = 0 and b = a + 1").collect()}
+    nodes = defaultdict(set)
+    for r in large.collect() if large is not None else []:
+        nodes[r["key"]].add(r["id"])
+    found |= {(i, i + 1) for own in nodes.values() for i in own if i % 2 == 0 and i + 1 in own}
+    assert found == {(i, i + 1) for i in range(0, len(tokens), 2)}
+
+
 def test_near_duplicates_on_odd_tables(odd, empty):
     rows = near.near_duplicates(odd, 2).collect()
     assert len(rows) >= len(ODD)
