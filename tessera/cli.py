@@ -46,7 +46,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.command == "sample":
         source.sample(args.table, args.rows, args.seed).df.show(args.rows, truncate=False)
     elif args.command == "profile":
-        made = profile.profile_table(source.sample(args.table, args.rows, args.seed), sensitive=tuple(args.sensitive), not_sensitive=tuple(args.not_sensitive), classify_pii=args.classify)
+        part = source.sample(args.table, args.rows, args.seed)
+        made = profile.profile_table(part, sensitive=tuple(args.sensitive), not_sensitive=tuple(args.not_sensitive), classify_pii=args.classify, whole=Table(source.read(args.table), part.schema))
         spec.save_profile(made, args.out)
     elif args.command == "generate":
         known = spec.load_profile(args.profile)

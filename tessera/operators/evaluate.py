@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.model import NUMERIC, LogicalType, Profile, Table
 from . import correlate
 from .generate import generate_marginals
-from .guard import collisions
+from .guard import collisions, guard_of
 from .profile import finite, text_of
 
 
@@ -138,10 +138,12 @@ class QualityPrivacyReport:
 
 
 def quality_privacy_report(profile: Profile, table: Table, guard: DataFrame | None = None, tolerance: float = 0.9, membership_threshold: float = 0.0, attribute_threshold: float = 1.0) -> QualityPrivacyReport:
+    """Membership is held against the profile's own guard by default; sensitive columns without a guard fail."""
+    guard = guard_of(table.df.sparkSession, profile) if guard is None else guard
     quality = quality_score(fidelity_report(profile, table, tolerance))
     member = membership_risk(table, guard, list(profile.sensitive), profile.salt)
     attribute = attribute_inference_risk(table, list(profile.sensitive)) if profile.sensitive else None
-    failed = [n for n, bad in (("quality", quality is None or not quality >= tolerance), ("membership", member is not None and member > membership_threshold), ("attribute", attribute is not None and attribute > attribute_threshold)) if bad]
+    failed = [n for n, bad in (("quality", quality is None or not quality >= tolerance), ("membership", (guard is None and bool(profile.sensitive)) or (member is not None and member > membership_threshold)), ("attribute", attribute is not None and attribute > attribute_threshold)) if bad]
     return QualityPrivacyReport(quality, member, attribute, not failed, failed)
 
 

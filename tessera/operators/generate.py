@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.random import normal, phi, uniform
 from ..plans.model import ColumnProfile, GatedTable, GenerationError, LogicalType, NumericStats, Profile, Table
 from .conditions import Between, Condition, Equals, Members, typed, validate_conditions
-from .guard import enforce_leakage_gate, gate
+from .guard import enforce_leakage_gate, gate, guard_of
 
 # fixed values: column names whose text gets a format, in order
 FORMATS = {"email": ("email", "e_mail", "mail"), "phone": ("phone", "telephone", "mobile", "cell"), "uuid": ("uuid", "guid")}
@@ -230,7 +230,8 @@ def generate_marginals(spark: SparkSession, profile: Profile, rows: int, seed: i
 
 
 def generate_faithful(spark: SparkSession, profile: Profile, rows: int, seed: int = 0, conditions: dict[str, Condition] | None = None, guard: DataFrame | None = None) -> GatedTable:
-    """Generate, redraw cells that collide with the guard, and seal."""
+    """Generate, redraw cells that collide with the guard (the profile's own by default), and seal."""
+    guard = guard_of(spark, profile) if guard is None else guard
     made = synthesize(spark, profile, rows, seed, conditions, keep_position=True)
     guarded = [c for c in profile.sensitive if c not in (conditions or {})]
     if guard is not None and guarded:

@@ -6,10 +6,10 @@ import secrets
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.model import NUMERIC, GatedTable, LeakageError, LogicalType, Table
+from ..plans.model import NUMERIC, GatedTable, LeakageError, LogicalType, Profile, Table
 from .quantiles import quantile_arrays
 
 ALGORITHM = "sha2-256"
@@ -42,6 +42,18 @@ def build_guard(table: Table, sensitive: list[str], salt: str) -> DataFrame:
     return table.df.select(F.inline(parts)).where("digest is not null").distinct()
 
 
+def guard_of(spark: SparkSession, profile: Profile) -> DataFrame | None:
+    """The guard of a profile, from memory or from where it is stored."""
+    if profile.guard is not None or profile.guard_path is None:
+        return profile.guard
+    try:
+        return spark.read.parquet(profile.guard_path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise LeakageError(f"the guard of {profile.schema.table} is missing: {profile.guard_path}") from e
+        raise
+
+
 def collisions(table: Table, guard: DataFrame, columns: list[str], salt: str) -> DataFrame:
     """(column, n, leaked): non-null cells, and those whose digest the guard has."""
     parts = F.array(*(F.struct(F.lit(c).alias("column"), digest(F.col(c), salt, table.schema.column(c).logical_type).alias("digest")) for c in columns))
@@ -66,9 +78,11 @@ def enforce_leakage_gate(table: Table, guard: DataFrame, columns: list[str], sal
 
 
 def gate(table: Table, guard: DataFrame | None, columns: list[str], salt: str | None, structural: tuple[str, ...] = ()) -> GatedTable:
-    """Seal a table without collisions in guarded, non-structural columns; never redraws."""
+    """Seal a table without collisions in guarded, non-structural columns; never redraws. Sensitive columns without a guard are refused."""
     checked = [c for c in columns if c not in structural]
-    if guard is not None and checked:
+    if columns and guard is None:
+        raise LeakageError(f"{table.schema.table}: no guard for {sorted(columns)}")
+    if checked:
         leaked = {r["column"]: r["leaked"] for r in collisions(table, guard, checked, salt).collect() if r["leaked"]}
         if leaked:
             raise LeakageError(f"real values in {sorted(leaked)}")

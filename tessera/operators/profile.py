@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import pii
 from ..plans.model import NUMERIC, TEXT, ColumnProfile, DatetimeStats, LogicalType, NumericStats, Profile, Table, TextStats
 from . import correlate
-from .guard import new_salt
+from .guard import build_guard, new_salt
 from .quantiles import quantile_arrays
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -93,8 +93,8 @@ def pii_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
-def profile_table(table: Table, top_k: int = TOP_K, category_limit: int = CATEGORY_LIMIT, bins: int = BINS, sensitive: tuple[str, ...] = (), not_sensitive: tuple[str, ...] = (), classify_pii: bool = False, salt: str | None = None, least_rate: float = 0.5) -> Profile:
-    """Profile all columns in a bounded number of jobs. Sensitive columns keep counts only."""
+def profile_table(table: Table, top_k: int = TOP_K, category_limit: int = CATEGORY_LIMIT, bins: int = BINS, sensitive: tuple[str, ...] = (), not_sensitive: tuple[str, ...] = (), classify_pii: bool = False, salt: str | None = None, least_rate: float = 0.5, whole: Table | None = None) -> Profile:
+    """Profile all columns in a bounded number of jobs. Sensitive columns keep counts only, and a guard over all rows: of `whole`, where the table is a sample of it."""
     schema, df = table.schema, table.df
     marked = {*sensitive, *(classify_sensitive_columns(table, least_rate) if classify_pii else ())} - set(not_sensitive)
     for name in marked:
@@ -135,6 +135,8 @@ def profile_table(table: Table, top_k: int = TOP_K, category_limit: int = CATEGO
     fill_calendar(df, [p for p in columns if p.datetime])
     moving = [p.name for p in numeric if p.numeric.min < p.numeric.max]
     profile = Profile(schema, row["__rows"], columns, sensitive=tuple(sorted(marked)), salt=(salt or new_salt()) if marked else None)
+    if marked:
+        profile.guard = build_guard(whole or table, sorted(marked), profile.salt)
     if len(moving) > 1:
         profile.numeric_columns, profile.spearman = moving, correlate.spearman_matrix(df, moving)
     few = [p.name for p in categorical if 2 <= p.distinct_count <= category_limit]

@@ -237,12 +237,17 @@ class Profile:
     sensitive: tuple[str, ...] = ()
     salt: str | None = None
     schema_version: str = "1.0.0"
+    #: Digests of the real values of sensitive columns, lazy; where they are stored. Values of the first are never part of the dictionary.
+    guard: DataFrame | None = field(default=None, repr=False, compare=False)
+    guard_path: str | None = field(default=None, compare=False)
 
     def column(self, name: str) -> ColumnProfile:
         return next(c for c in self.columns if c.name == name)
 
     def to_dict(self) -> dict[str, Any]:
-        return json.loads(json.dumps(asdict(self), default=str))
+        made = json.loads(json.dumps(asdict(replace(self, guard=None)), default=str))
+        del made["guard"]
+        return made
 
     @staticmethod
     def from_dict(data: dict[str, Any]) -> Profile:
@@ -262,4 +267,4 @@ class Profile:
             )
             for c in data["columns"]
         ]
-        return Profile(schema, data["row_count"], columns, data["numeric_columns"], data["spearman"], data["cramers_v"], tuple(data["sensitive"]), data["salt"], data["schema_version"])
+        return Profile(schema, data["row_count"], columns, data["numeric_columns"], data["spearman"], data["cramers_v"], tuple(data["sensitive"]), data["salt"], data["schema_version"], guard_path=data.get("guard_path"))

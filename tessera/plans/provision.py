@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, relate
-from ..operators.generate import POSITION
-from ..operators.guard import gate
+from ..operators.generate import POSITION, draw
+from ..operators.guard import enforce_leakage_gate, gate, guard_of
 from ..sources.tables import load_stream
-from .model import EngineError, GatedTable, GenerationError, KeyspaceError, LogicalType, Profile, Table, TableSchema, require_gated
+from .model import EngineError, GatedTable, GenerationError, KeyspaceError, LeakageError, LogicalType, Profile, Table, TableSchema, require_gated
 from .spec import DENIED, Spec, assert_nonprod_destination, consistency_fingerprint, spec_profiles
 
 
@@ -40,14 +40,47 @@ def with_shared_keys(table: Table, name: str, spec: Spec) -> Table:
     return table.with_df(df.drop(POSITION))
 
 
-def structural(schema: TableSchema) -> tuple[str, ...]:
-    return (*schema.primary_key, *(c for f in schema.foreign_keys for c in f.columns))
+def structural(schema: TableSchema, shared: Iterable[str] = ()) -> tuple[str, ...]:
+    """Keys and shared columns: they hold numbers of positions in generated rows."""
+    return (*schema.primary_key, *(c for f in schema.foreign_keys for c in f.columns), *shared)
+
+
+def spec_guards(spark: SparkSession, spec: Spec, profiles: dict[str, Profile], guards: dict[str, DataFrame] | None) -> dict[str, DataFrame | None]:
+    """Given guards, and those of the profiles; a column that the specification alone names needs a given one."""
+    out = {}
+    for t, p in profiles.items():
+        out[t] = (guards or {}).get(t)
+        if out[t] is None and (bare := set(spec.tables[t].sensitive_columns) - set(p.sensitive)):
+            raise LeakageError(f"{t}: no guard for {sorted(bare)}")
+        out[t] = guard_of(spark, p) if out[t] is None else out[t]
+    return out
+
+
+def sensitive(spec: Spec, profile: Profile, name: str) -> list[str]:
+    return sorted({*profile.sensitive, *spec.tables[name].sensitive_columns})
+
+
+def redrawn(table: Table, name: str, spec: Spec, profiles: dict[str, Profile], guard: DataFrame | None) -> Table:
+    """Colliding cells drawn anew by position. Columns that others refer to stay, so the gate refuses them where they collide."""
+    p = profiles[name]
+    fixed = {*structural(p.schema, spec.tables[name].shared_keys), *(c for q in profiles.values() for f in q.schema.foreign_keys if f.referred_table == name for c in f.referred_columns)}
+    columns = [c for c in sensitive(spec, p, name) if c not in fixed]
+    if guard is None or not columns:
+        return table
+    made = enforce_leakage_gate(table, guard, columns, p.salt or "", lambda c, attempt: draw(p, c, spec.seed, F.col(POSITION), attempt))
+    df = made.df
+    for u in p.schema.unique_constraints:
+        if len(u) == 1 and u[0] in columns and p.schema.column(u[0]).logical_type is LogicalType.STRING:
+            df = relate.unique_values(df, u[0], POSITION)
+    return made.with_df(df)
 
 
 def generate_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFrame] | None = None) -> dict[str, GatedTable]:
     """Lazy sealed tables. Shared keys are arithmetic on positions, for children as well, so no key is ever looked up."""
     profiles = spec_profiles(spec)
+    known = spec_guards(spark, spec, profiles, guards)
     made = relate.generate_related(spark, profiles, {t: s.rows for t, s in spec.tables.items()}, spec.seed, key_bases(spec, profiles), keep_position=True)
+    made = {t: redrawn(v, t, spec, profiles, known[t]) for t, v in made.items()}
     for t, s in spec.tables.items():
         for x in s.cross_correlations:
             made[t] = correlate(made, spec, t, x)
@@ -57,7 +90,7 @@ def generate_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFr
         if spec.tables[t].fixtures:
             over = relate.overlay_fixtures(plain[t], spec.tables[t].fixtures, spec.tables[t].reserved_key_block, {p: v.df for p, v in plain.items()})
             plain[t] = over.with_df(over.df.drop("is_fixture"))
-        sealed[t] = gate(plain[t], (guards or {}).get(t), list(profiles[t].sensitive), profiles[t].salt, structural(plain[t].schema))
+        sealed[t] = gate(plain[t], known[t], sensitive(spec, profiles[t], t), profiles[t].salt or "", structural(plain[t].schema, spec.tables[t].shared_keys))
     return sealed
 
 
@@ -66,6 +99,7 @@ def stream_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFram
     rows of generate_from_spec(). What needs a whole table can't be made in blocks and is refused before the first one: fixtures, correlations
     with a parent, and unique texts, which are repaired by their occurrences."""
     profiles = spec_profiles(spec)
+    known = spec_guards(spark, spec, profiles, guards)
     bases, rows = key_bases(spec, profiles), {t: s.rows for t, s in spec.tables.items()}
     for t, s in spec.tables.items():
         schema = profiles[t].schema
@@ -76,7 +110,8 @@ def stream_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFram
         for start in range(0, max(rows[t], 1), spec.chunk_rows):
             size = min(spec.chunk_rows, rows[t] - start)
             made = relate.generate_related(spark, profiles, rows, spec.seed, bases, keep_position=True, block=(t, start, size))[t]
-            yield t, gate(with_shared_keys(made, t, spec), (guards or {}).get(t), list(profiles[t].sensitive), profiles[t].salt, structural(made.schema))
+            made = with_shared_keys(redrawn(made, t, spec, profiles, known[t]), t, spec)
+            yield t, gate(made, known[t], sensitive(spec, profiles[t], t), profiles[t].salt or "", structural(made.schema, spec.tables[t].shared_keys))
 
 
 def correlate(made: dict[str, Table], spec: Spec, child: str, x) -> Table:

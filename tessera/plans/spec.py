@@ -12,7 +12,7 @@ from typing import Any
 import yaml
 from pydantic import BaseModel, ConfigDict, Field, ValidationError
 
-from .model import ConfigError, GuardrailError, Profile, VersionError
+from .model import ConfigError, GuardrailError, Profile, Table, VersionError
 
 NONPROD = "nonprod"
 # fixed values: names that are never written to
@@ -132,22 +132,41 @@ def save_spec(spec: Spec, path: str | Path) -> None:
 
 
 def save_profile(profile: Profile, path: str | Path) -> None:
+    """As YAML; the digests of the guard as Parquet beside it."""
+    if profile.guard is not None:
+        save_guard(profile, f"{path}.guard")
     Path(path).write_text(yaml.safe_dump(profile.to_dict(), sort_keys=True))
 
 
+def save_guard(profile: Profile, path: str) -> None:
+    profile.guard_path = path if "://" in path else str(Path(path).absolute())
+    profile.guard.write.mode("overwrite").parquet(profile.guard_path)
+
+
 def load_profile(path: str | Path) -> Profile:
-    return Profile.from_dict(yaml.safe_load(Path(path).read_text()) or {})
+    profile = Profile.from_dict(yaml.safe_load(Path(path).read_text()) or {})
+    beside = Path(f"{path}.guard")  # the two may have been moved together
+    if profile.guard_path and Path(profile.guard_path).name == beside.name and beside.exists():
+        profile.guard_path = str(beside.absolute())
+    return profile
 
 
 def bootstrap_spec(profiles: dict[str, Profile], seed: int = 0, tolerance: float = 0.9) -> Spec:
     return Spec(seed=seed, tolerance=tolerance, tables={t: TableSpec(profile=p.to_dict(), rows=p.row_count, sensitive_columns=list(p.sensitive)) for t, p in profiles.items()})
 
 
-def bootstrap_from_source(source, tables: list[str], rows: int = 1000, seed: int = 0, tolerance: float = 0.9, sensitive: dict[str, list[str]] | None = None, classify_pii: bool = False, salt: str | None = None) -> Spec:
-    """Profile a sample of each table. The default salt follows the seed, so that runs agree; name a secret one where digests must withstand guessing."""
+def bootstrap_from_source(source, tables: list[str], rows: int = 1000, seed: int = 0, tolerance: float = 0.9, sensitive: dict[str, list[str]] | None = None, classify_pii: bool = False, salt: str | None = None, guards: str | None = None) -> Spec:
+    """Profile a sample of each table; guards cover all rows and are stored in the folder `guards`. The default salt follows the seed, so that runs agree; name a secret one where digests must withstand guessing."""
     from ..operators.profile import profile_table
 
-    made = {t: profile_table(source.sample(t, rows, seed), sensitive=tuple((sensitive or {}).get(t, ())), classify_pii=classify_pii, salt=salt or f"spec-{t}-{seed}") for t in tables}
+    made = {}
+    for t in tables:
+        part = source.sample(t, rows, seed)
+        made[t] = profile_table(part, sensitive=tuple((sensitive or {}).get(t, ())), classify_pii=classify_pii, salt=salt or f"spec-{t}-{seed}", whole=Table(source.read(t), part.schema))
+        if made[t].guard is not None:
+            if guards is None:
+                raise ConfigError(f"{t} has sensitive columns {list(made[t].sensitive)}; name a folder for guards")
+            save_guard(made[t], f"{guards}/{t}.guard")
     return bootstrap_spec(made, seed, tolerance)
 
 
@@ -160,8 +179,8 @@ def pinned_deps() -> dict[str, str]:
 
 
 def consistency_fingerprint(spec: Spec, deps: dict[str, str] | None = None, mode: str = "spark") -> str:
-    """What decides the generated bytes: the spec without its destination and chunking, and the libraries. Layouts don't count: positions decide."""
-    unit = {"spec": spec.model_dump(exclude={"destination", "chunk_rows"}), "deps": pinned_deps() if deps is None else deps, "mode": mode}
+    """What decides the generated bytes: the spec without its destination, chunking and places of guards, and the libraries. Layouts don't count: positions decide."""
+    unit = {"spec": spec.model_dump(exclude={"destination": True, "chunk_rows": True, "tables": {"__all__": {"profile": {"guard_path"}}}}), "deps": pinned_deps() if deps is None else deps, "mode": mode}
     return hashlib.blake2b(json.dumps(unit, sort_keys=True, separators=(",", ":"), default=str).encode(), digest_size=32).hexdigest()
 
 

@@ -108,6 +108,9 @@ class JdbcSource:
     def test_connection(self) -> None:
         self.query("SELECT 1 AS one").collect()
 
+    def read(self, table: str) -> DataFrame:
+        return self.query(f"SELECT * FROM {table}")
+
     def introspect(self, table: str) -> TableSchema:
         return schema_of(self.query(f"SELECT * FROM {table} WHERE 1 = 0"), table)
 

@@ -1,7 +1,9 @@
 """Queries against DuckDB, and invariants of generation, relations and chaos."""
 
 import glob
+import json
 import os
+import shutil
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chaos, conditions, evaluate, generate, guard, profile, quantiles, relate
 from tessera import cli
 from tessera.plans import provision, registry, spec
-from tessera.plans.model import ChaosError, EngineError, GenerationError, GuardrailError, Profile, Table, require_gated, schema_of
+from tessera.plans.model import ChaosError, EngineError, GenerationError, GuardrailError, LeakageError, Profile, Table, require_gated, schema_of
 from tessera.sources.tables import FileSource, normalize_for_export
 
 SF = "/root/testdata/sf0.001"
@@ -173,3 +175,67 @@ def test_numeric_draws_follow_the_bins(spark):
         cdf = np.cumsum([0, *counts]) / sum(counts)
         for u, x in zip(np.arange(1001) / 1000, got, strict=True):
             assert min(abs(x - v) for v in edges) < 1e-9 if u in cdf else abs(x - np.interp(u, cdf, edges)) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def people(spark, tmp_path_factory):
+    """A folder with a table whose names are an eighth of those that a generator can invent."""
+    folder = str(tmp_path_factory.mktemp("people"))
+    names = [f"{a} {b}" for a in generate.FIRST for b in generate.LAST][::8]
+    spark.createDataFrame([(i, names[i % len(names)], float(i)) for i in range(128)], "k long, full_name string, x double").write.parquet(f"{folder}/people.parquet")
+    return folder
+
+
+def real_names(spark, folder, made):
+    real = {r["full_name"] for r in spark.read.parquet(f"{folder}/people.parquet").collect()}
+    return sum(r["full_name"] in real for r in made.collect())
+
+
+def test_commands_run_the_leakage_gate(spark, people, tmp_path, capsys):
+    profiled, out = str(tmp_path / "p.yaml"), str(tmp_path / "made")
+    run = lambda *words: cli.run(cli.parser().parse_args(list(words)), spark)
+    # the profiled sample holds 10 rows, the guard all
+    assert run("profile", "--folder", people, "--table", "people", "--rows", "10", "--sensitive", "full_name", "--out", profiled) == 0
+    known = spec.load_profile(profiled)
+    assert real_names(spark, people, generate.synthesize(spark, known, 100, 3).df) > 0
+    assert run("generate", "--profile", profiled, "--rows", "100", "--seed", "3", "--out", out) == 0
+    made = spark.read.parquet(out)
+    assert made.count() == 100 and real_names(spark, people, made) == 0 and made.where("full_name is null").count() == 0
+    capsys.readouterr()
+    assert run("report", "--profile", profiled, "--data", out, "--tolerance", "0") == 0
+    assert json.loads(capsys.readouterr().out)["membership"] == 0
+    assert run("report", "--profile", profiled, "--data", f"{people}/people.parquet", "--tolerance", "0") == 1
+    said = json.loads(capsys.readouterr().out)
+    assert said["membership"] == 1 and said["failed"] == ["membership"]
+    shutil.rmtree(f"{profiled}.guard")
+    with pytest.raises(LeakageError):
+        run("generate", "--profile", profiled, "--rows", "10", "--out", out)
+
+
+def test_provision_runs_the_leakage_gate(spark, people, tmp_path):
+    whole = spec.bootstrap_from_source(FileSource(spark, people), ["people"], 10, 3, sensitive={"people": ["full_name"]}, guards=str(tmp_path / "guards"))
+    whole.tables["people"].rows, whole.destination, whole.chunk_rows = 100, spec.DestinationSpec(environment="nonprod"), 40
+    rows = []
+    for stream in (False, True):
+        sink = FileSource(spark, str(tmp_path / f"sink{stream}"))
+        provision.provision(spark, whole, sink, score=False, stream=stream)
+        made = sink.read("people")
+        assert made.count() == 100 and real_names(spark, people, made) == 0
+        rows.append(sorted(map(str, made.select("k", "full_name", "x").collect())))
+    assert rows[0] == rows[1]
+    whole.tables["people"].profile["guard_path"] = None
+    with pytest.raises(LeakageError):
+        provision.generate_from_spec(spark, whole)
+
+
+def test_the_gate_fails_closed(spark, people):
+    t = FileSource(spark, people).sample("people", 200)
+    known = guard.build_guard(t, ["full_name"], "s")
+    with pytest.raises(LeakageError):
+        guard.gate(t, known, ["full_name"], "s")
+    with pytest.raises(LeakageError):
+        guard.gate(t, None, ["full_name"], "s")
+    with pytest.raises(LeakageError):
+        guard.enforce_leakage_gate(t, known, ["full_name"], "s", lambda c, attempt: F.lit("Ada Abel"), attempts=2)
+    made = guard.enforce_leakage_gate(t, known, ["full_name"], "s", lambda c, attempt: F.when(attempt == 2, "new").otherwise("Ada Abel"), attempts=2)
+    assert real_names(spark, people, made.df) == 0 and guard.gate(made, known, ["full_name"], "s").checked == ("full_name",)
