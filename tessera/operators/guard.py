@@ -89,6 +89,18 @@ def gate(table: Table, guard: DataFrame | None, columns: list[str], salt: str |
     return GatedTable(GatedTable._key, table, tuple(checked))
 
 
+def scan_and_gate(table: Table, guard: DataFrame | None, columns: list[str], salt: str | None, structural: tuple[str, ...], classify: Callable[[Table, float], dict[str, str]]) -> GatedTable:
+    """gate() for a table with a column is_fixture: pinned rows are checked in all guarded columns, keys included, and refused where a single
+    value (or the name) of a column without guard is personal data."""
+    pinned = table.with_df(table.df.where("is_fixture").drop("is_fixture"))
+    gate(pinned, guard, columns, salt)
+    if n := pinned.df.count():
+        found = {c: kind for c, kind in classify(pinned, 1 / n).items() if c not in columns}
+        if found:
+            raise LeakageError(f"{table.schema.table}: fixtures hold personal data in columns without guard: {found}")
+    return gate(table.with_df(table.df.drop("is_fixture")), guard, columns, salt, structural)
+
+
 # ---------------------------------------------------------------- privacy filters
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, relate
 from ..operators.generate import POSITION, draw
-from ..operators.guard import enforce_leakage_gate, gate, guard_of
+from ..operators.guard import enforce_leakage_gate, gate, guard_of, scan_and_gate
+from ..operators.profile import classify_sensitive_columns
 from ..sources.tables import load_stream
 from .model import EngineError, GatedTable, GenerationError, KeyspaceError, LeakageError, LogicalType, Profile, Table, TableSchema, require_gated
 from .spec import DENIED, Spec, assert_nonprod_destination, consistency_fingerprint, spec_profiles
@@ -90,7 +91,8 @@ def generate_from_spec(spark: SparkSession, spec: Spec, guards: dict[str, DataFr
         if spec.tables[t].fixtures:
             over = relate.overlay_fixtures(plain[t], spec.tables[t].fixtures, spec.tables[t].reserved_key_block, {p: v.df for p, v in plain.items()})
             plain[t] = over.with_df(over.df.drop("is_fixture"))
-        sealed[t] = gate(plain[t], known[t], sensitive(spec, profiles[t], t), profiles[t].salt or "", structural(plain[t].schema, spec.tables[t].shared_keys))
+        checked = known[t], sensitive(spec, profiles[t], t), profiles[t].salt or "", structural(plain[t].schema, spec.tables[t].shared_keys)
+        sealed[t] = scan_and_gate(over, *checked, classify_sensitive_columns) if spec.tables[t].fixtures else gate(plain[t], *checked)
     return sealed
 
 

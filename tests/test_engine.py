@@ -239,3 +239,26 @@ def test_the_gate_fails_closed(spark, people):
         guard.enforce_leakage_gate(t, known, ["full_name"], "s", lambda c, attempt: F.lit("Ada Abel"), attempts=2)
     made = guard.enforce_leakage_gate(t, known, ["full_name"], "s", lambda c, attempt: F.when(attempt == 2, "new").otherwise("Ada Abel"), attempts=2)
     assert real_names(spark, people, made.df) == 0 and guard.gate(made, known, ["full_name"], "s").checked == ("full_name",)
+
+
+def test_fixtures_are_scanned(spark):
+    rows = [(100 + i, f"https://a.example/{i}", 1000 + i, f"note {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, link string, code long, notes string")
+    t = Table(df, schema_of(df, "things", ("k",)))
+    known = profile.profile_table(t, sensitive=("k", "link", "code"), salt="s")
+    whole = spec.bootstrap_spec({"things": known}, seed=1)
+    s = whole.tables["things"]
+    s.rows, s.shared_keys, s.reserved_key_block = 5, ["k", "code"], 900
+
+    def made(*fixtures):
+        s.fixtures = list(fixtures)
+        return provision.generate_from_spec(spark, whole, {"things": known.guard})["things"]
+
+    fine = {"k": 1, "link": "https://b.example/", "code": 7, "notes": "pinned"}
+    assert made(fine).df.where("k = 1 and code = 7").count() == 1
+    others = [fine | {"k": k} for k in (2, 3, 4)]
+    for bad in ({"k": 101}, {"code": 1003}, {"link": "https://a.example/3"}, {"notes": "ada@example.com"}, {"notes": "DE89370400440532013000"}, {"notes": "4111 1111 1111 1111"}):
+        with pytest.raises(LeakageError):
+            made(fine | bad, *others)
+    s.rows, s.reserved_key_block = 150, 0  # generated keys may equal real ones
+    assert made().df.where("k between 100 and 119").count() == 20
