@@ -68,9 +68,10 @@ def correlation_similarity(profile: Profile, df: DataFrame) -> float | None:
 
 
 def fidelity_report(profile: Profile, table: Table, tolerance: float = 0.9, reference_rows: int = 2000) -> FidelityReport:
-    """Score each column against what the profile itself generates; a report that could compare nothing fails."""
+    """Score each column against what the profile itself generates, as many rows as the table has and `reference_rows` at least; a report that
+    could compare nothing fails."""
     df = table.df
-    reference = generate_marginals(df.sparkSession, profile, max(reference_rows, profile.row_count if profile.row_count < 100_000 else reference_rows), 0).df
+    reference = generate_marginals(df.sparkSession, profile, max(reference_rows, df.count()), 0).df
     scores: dict[str, float] = {}
     for p in profile.columns:
         if p.name not in df.columns:

@@ -1,5 +1,6 @@
 """Queries against DuckDB, and invariants of generation, relations and chaos."""
 
+import dataclasses
 import glob
 import json
 import os
@@ -262,3 +263,14 @@ def test_fixtures_are_scanned(spark):
             made(fine | bad, *others)
     s.rows, s.reserved_key_block = 150, 0  # generated keys may equal real ones
     assert made().df.where("k between 100 and 119").count() == 20
+
+
+@pytest.mark.parametrize("profiled", [99_999, 100_000])
+@pytest.mark.parametrize("rows,wanted", [(500, 2000), (3000, 3000)])
+def test_scores_use_as_many_reference_rows_as_the_table(spark, known, monkeypatch, profiled, rows, wanted):
+    drawn = []
+    real = evaluate.generate_marginals
+    monkeypatch.setattr(evaluate, "generate_marginals", lambda s, p, n, seed: drawn.append(n) or real(s, p, n, seed))
+    large = dataclasses.replace(known["customer"], row_count=profiled)
+    assert evaluate.fidelity_report(large, generate.synthesize(spark, large, rows, 2)).columns["c_acctbal"] > 0.9
+    assert drawn == [wanted]
