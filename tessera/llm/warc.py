@@ -7,8 +7,8 @@ ordered history of captures. Records are read back by that index.
 Archives and runs live in the shared store of the session; file names are unique to a task attempt, and only files that a
 finished attempt reports are read, so lost executors and repeated attempts do no harm.
 
-Null payloads are empty, null URLs are the empty URL. Rows with a null id are responses, and nothing refers to them. Repeated rows of one id are responses
-all, or revisits all.
+Null payloads are empty, null URLs are the empty URL. Rows with a null id are responses, and nothing refers to them. Repeated rows of one id and payload are
+responses all, or revisits all.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
@@ -91,11 +91,15 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
+def digest_of(payload: str) -> Column:
+    return F.sha2(F.col(payload).cast("binary"), 256)
+
+
 def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload an earlier page has."""
-    seen = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least)).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    """(page_id, digest, refers_to) of payloads of pages that an earlier page has."""
+    seen = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least)).select("page_id", digest_of("html").alias("digest"))
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    return seen.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return seen.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 Entry = tuple[str, str, int, str, int, int]  # key, time, id, archive, offset, length
@@ -291,5 +295,5 @@ def archive_and_read(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     base = scratch(spark, "warc")
     own = pages.select("page_id", "url", "html")
     again = stored(revisits(own, least), "revisits")
-    manifest = stored(write_archives(own.join(again, "page_id", "left"), base), "manifest")
+    manifest = stored(write_archives(own.withColumn("digest", digest_of("html")).join(again, ["page_id", "digest"], "left"), base), "manifest")
     return read_records(merge_runs(spark, manifest, base), base)

@@ -349,6 +349,15 @@ def test_archives_read_back(spark, monkeypatch):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_archives_of_ids_with_two_payloads(spark):
+    a, b, c = ("abc"[k] * 200 for k in range(3))
+    rows = [(1, a), (2, b), (7, a), (7, c), (8, a), (8, b)]
+    pages = spark.createDataFrame([(i, "http://a.org/", t) for i, t in rows], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_digest"], r["refers_to"]) for r in warc.archive_and_read(pages).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter([(1, sha(a), None), (2, sha(b), None), (7, sha(a), 1), (7, sha(c), None), (8, sha(a), 1), (8, sha(b), 2)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
