@@ -1,25 +1,29 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its distinct shingles of `words` words. Equal sets collapse to the document with the smallest id. The others get
-minwise tokens; in each of several trees a document walks down a path on which the node reached so far selects the
-token that names the next node, out of those of the tree's own hash functions that the path has not used. Nodes of at most `LEAF` documents
-are compared exhaustively on one-bit sketches, larger nodes branch further, and their documents enter more trees. Nodes that are still large at the last depth hold near copies of one another: each member is held against the
-node's first document, and members that turn out not to belong to it are compared with the whole node. All candidates are confirmed on the full
-sets; only confirmed links count.
-
-Confirming: candidates are joined to provisional components, and the exact similarity of each document to the most central one of its component
-is worked out. Documents that are not linked to the centre are then held against their whole component in tiles of about 96 x 96 texts. As 1 - similarity is
-a metric, a tile whose distances to the centre differ by more than 1 - `share` can hold no link and is left out. So a group of n copies costs about n confirmations,
-pairs are never written out, and no link inside a component is lost.
-
-Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Trees share no hash functions, so n trees miss a pair
-with probability (1 - s^d)^n. Nodes begin at a depth of 3 tokens, in 20 trees. A document of a node of more than `LEAF` goes on to the next depth there
-and in the trees that begin at that depth; 20, 28, 37 and 48 trees at 3, 4, 5 and 6 tokens each miss pairs at exactly 0.8 less than once in
-1.7 million. A pair whose shared nodes were all large is in all trees of the next depth, so all four depths together miss less than once in 500,000 whatever
-the size of the corpus, the sketch filter (once in 500 million) included. Nodes that are large at the last depth lose nothing more.
-
-Texts without words are linked with nothing. Rows with a null id have a null component and are kept. Rows that share an id are
-one document.
+A document is the set of its distinct shingles of `words` words. Equal sets collapse to the document with the smallest id.
+The others get minwise tokens; in each of several trees a document walks down a path on which the node reached so far
+selects the token that names the next node, out of those of the tree's own hash functions that the path has not used.
+Nodes of at most `LEAF` documents are compared exhaustively on one-bit sketches, larger nodes branch further, and their
+documents enter more trees. All candidates are confirmed on the full sets; only confirmed links count.
+
+Confirming: what the candidate pairs connect is held against its most central document, then the candidate pairs that
+this leaves apart are compared directly. Nodes that are still large at the last depth hold near copies of one another,
+most of which are by then in one component; the rest of their members are compared with the whole node, in blocks of
+`BLOCK` by `BLOCK` sets as products of matrices. So no pairs of a group are written out, a group of n copies costs about
+n confirmations and a row for each block of members that its centre and candidates left apart, and no link of a large
+node is lost.
+
+Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Trees share no hash
+functions, so n trees miss a pair with probability (1 - s^d)^n. Nodes begin at a depth of 3 tokens, in 20 trees. A
+document of a node of more than `LEAF` goes on to the next depth there and in the trees that begin at that depth; 20, 28,
+37 and 48 trees at 3, 4, 5 and 6 tokens each miss pairs at exactly 0.8 less than once in 1.7 million. A pair whose shared
+nodes were all large is in all trees of the next depth, so all four depths together miss less than once in 500,000
+whatever the size of the corpus, the sketch filter (once in 500 million) included. Nodes that are large at the last depth
+lose nothing more.
+
+Null and empty texts and texts without words are linked with nothing and have themselves as component. Rows with a null id
+have a null component and are kept. Fully repeated rows come out as often as they came in. Texts that share an id are one
+document: it is linked with whatever any of them is linked with.
 """
 
 from __future__ import annotations
@@ -230,146 +234,207 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
-#: Distances to a centre fall into so many steps; a block is meant to hold so many documents.
-STEPS, BLOCK = 25, 96
+#: Sets of one side of a tile: at most so many documents, and about so many shingles, are held at a time.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Columns of the matrices that tiles are compared by, and documents of the other side that are compared at a time.
+COLUMNS, CHUNK = 4096, 256
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of the one list with all of the other."""
-    every = np.concatenate(two)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in two])[:-1]])
-    out = np.empty((len(one), len(two)), np.int64)
-    for k, x in enumerate(one):
-        at = np.minimum(np.searchsorted(x, every), len(x) - 1)
-        out[k] = np.add.reduceat((x[at] == every).astype(np.int64), starts)
+    """Sizes of the intersections of all sets of the one list with all of the other: by search for a few sets, else by
+    products of 0-1 matrices over the shingles that both sides hold."""
+    size = [np.array([len(x) for x in side]) for side in (one, two)]
+    every = [np.concatenate(side) for side in (one, two)]
+    if len(one) <= 4:
+        starts = np.concatenate([[0], np.cumsum(size[1])[:-1]])
+        out = np.empty((len(one), len(two)), np.int64)
+        for k, x in enumerate(one):
+            at = np.minimum(np.searchsorted(x, every[1]), len(x) - 1)
+            out[k] = np.add.reduceat((x[at] == every[1]).astype(np.int64), starts)
+        return out
+    shared = np.intersect1d(*every)
+    out = np.zeros((len(one), len(two)), np.int64)
+    places = []
+    for flat, lengths in zip(every, size, strict=True):
+        at = np.searchsorted(shared, flat)
+        held = at < len(shared)
+        held[held] = shared[at[held]] == flat[held]
+        places.append((np.repeat(np.arange(len(lengths)), lengths)[held], at[held]))
+    for first in range(0, len(shared), COLUMNS):
+        matrices = []
+        for (row, at), lengths in zip(places, size, strict=True):
+            here = (at >= first) & (at < first + COLUMNS)
+            m = np.zeros((len(lengths), min(COLUMNS, len(shared) - first)), np.float32)
+            m[row[here], at[here] - first] = 1
+            matrices.append(m)
+        out += (matrices[0] @ matrices[1].T).astype(np.int64)  # counts up to COLUMNS are exact
     return out
 
 
-def connecting(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> list[int]:
+def connecting(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Of pairs of ids, the first ones that join what was apart."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
         while (up := parent.get(x, x)) != x:
+            parent[x] = up = parent.get(up, up)
             x = up
         return x
 
     out = []
-    for k, one, two in zip(pairs.tolist(), a[pairs].tolist(), b[pairs].tolist(), strict=True):
+    for k, (one, two) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         if (x := top(one)) != (y := top(two)):
             parent[y] = x
             out.append(k)
     return out
 
 
-def confirm(rows: DataFrame, texts: DataFrame, words: int, least: float, spanning: bool = False) -> DataFrame:
-    """(a, b, similarity) of the texts of role 0 with the other texts in the same tile, from a similarity of `least` on; with `spanning`,
-    only as many of them as connect what all of them connect. Rows are (tile, role, id)."""
+def confirm(rows: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Links (a, b) of the texts of role 0 with those of role 1 in the same tile, as many as connect what all of them connect.
+
+    Rows are (tile, role, id, own); documents of one `own` are known to be connected, and not linked again. A tile holds
+    its role 0 in memory, which callers bound by BLOCK; role 1 goes by in chunks. Similarity is exact, on integers.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: int | None = None
-        ids: tuple[list[int], list[int]] = ([], [])
-        sets: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-
-        def finish() -> pa.RecordBatch:
-            if not (ids[0] and ids[1]):
-                return pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["a", "b", "similarity"])
-            both = overlaps(*sets)
-            size = [np.array([len(x) for x in s]) for s in sets]
-            similarity = both / (size[0][:, None] + size[1][None] - both)
-            a, b = np.repeat(ids[0], len(ids[1])), np.tile(ids[1], len(ids[0]))
-            kept = (a != b) & (similarity.reshape(-1) >= least - 1e-9)
-            if spanning:
-                kept = np.array(connecting(a, b, np.flatnonzero(kept)), np.int64)
-            return pa.record_batch([pa.array(a[kept]), pa.array(b[kept]), pa.array(similarity.reshape(-1)[kept])], ["a", "b", "similarity"])
-
+        ids, own, sets = ([], []), ([], []), ([], [])
+
+        def compare() -> Iterator[pa.RecordBatch]:
+            if ids[0] and ids[1]:
+                both = overlaps(*sets)
+                size = [np.array([len(x) for x in side]) for side in sets]
+                linked = 100 * both >= share * (size[0][:, None] + size[1][None] - both) - 1e-6
+                linked &= np.array(own[0])[:, None] != np.array(own[1])[None]
+                row, column = np.nonzero(linked)
+                a, b = np.array(ids[0])[row], np.array(ids[1])[column]
+                keep = connecting(a, b)
+                if keep:
+                    yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+            for side in (ids[1], own[1], sets[1]):
+                side.clear()
+
+        held = 0
         for batch in batches:
-            for now, role, i, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for now, role, i, group, text in zip(*columns, batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
                 if now != tile:
-                    if tile is not None:
-                        yield finish()
-                    tile, ids, sets = now, ([], []), ([], [])
+                    yield from compare()
+                    tile, held = now, 0
+                    ids, own, sets = ([], []), ([], []), ([], [])
+                found = shingles(text, words)
+                if not len(found):
+                    continue
+                if role and (len(ids[1]) == CHUNK or held + len(found) > BLOCK_SHINGLES):
+                    yield from compare()
+                    held = 0
                 ids[role].append(i)
-                sets[role].append(shingles(text, words))
-        if tile is not None:
-            yield finish()
+                own[role].append(group)
+                sets[role].append(found)
+                held += len(found) * role
+        yield from compare()
 
     # both sides grow with the corpus: sorted and merged at every size
-    dealt = rows.hint("merge").join(texts, "id").select("tile", "role", "id", "text").repartition("tile").sortWithinPartitions("tile", "role")
-    return dealt.mapInArrow(run, "a long, b long, similarity double")
-
+    dealt = rows.hint("merge").join(texts, "id").select("tile", "role", "id", "own", "text")
+    return dealt.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(run, "a long, b long")
 
-#: Similarities to a centre below this are all treated alike.
-LEAST_SHOWN = 0.3
 
+def confirm_candidates(candidates: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Links that connect whatever the true ones of the candidate pairs connect.
 
-def settle(candidates: DataFrame, docs: DataFrame, words: int, share: float, few: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) of all that the candidates connect, and the provisional components."""
+    First each document is held against the most central one of what the candidates connect, one comparison a document.
+    The pairs that this does not settle are then held against one another, one row a pair: a document has at most LEAF
+    of them in a node and one more for each large node.
+    """
     group = stored(components(candidates), "groups")
-    # these sides grow with the corpus, so the join sorts and merges at every size; a few ids are left to the planner, which knows their size
-    wanted = group.select(F.col("id").alias("doc_id"))
-    texts = docs.where(F.col("doc_id").isNotNull()).join(wanted if few else wanted.hint("merge"), "doc_id", "left_semi")
-    texts = stored(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
     both = candidates.select(F.col("a").alias("id"), "bits").unionAll(candidates.select(F.col("b").alias("id"), "bits"))
     weight = both.groupBy("id").agg(F.sum(F.col("bits") - (LEAST_BITS - 1)).alias("weight"))
-    central = group.join(weight, "id").groupBy("component").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"), F.count("*").alias("size"))
-    dealt = group.join(central, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
-    tile = F.xxhash64("component", "block")
-    around = dealt.where("id <> centre")
-    star = around.select(tile.alias("tile"), F.lit(1).alias("role"), "id").unionAll(around.select(tile.alias("tile"), F.lit(0).alias("role"), F.col("centre").alias("id")).distinct())
-    star = stored(confirm(star, texts, words, LEAST_SHOWN).withColumnRenamed("b", "id"), "star")
-    links = star.where(100 * F.col("similarity") >= share - 1e-9).select("a", F.col("id").alias("b"))
-    # the loose ones against the blocks of their component that the triangle inequality leaves
-    placed = group.join(central, "component").join(star.select("id", "similarity"), "id", "left")
-    placed = placed.withColumn("step", F.when(F.col("id") == F.col("centre"), 0).otherwise(F.floor((1 - F.coalesce("similarity", F.lit(0.0))) * STEPS)))
-    placed = placed.select("id", "component", "step", ((F.col("id") != F.col("centre")) & (100 * F.coalesce("similarity", F.lit(0.0)) < share - 1e-9)).alias("loose"))
-    blocks = stored(placed.groupBy("component", "step").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max("loose").alias("loose")), "blocks")
-    placed = stored(placed.join(blocks.drop("loose"), ["component", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("id", "component", "step", "block", "loose"), "placed")
-    from_ = placed.where("loose").select("component", F.col("step").alias("s"), F.col("block").alias("k")).distinct()
-    unknown = int(STEPS * (1 - LEAST_SHOWN)) - 1  # from here on a distance is only known to be at least this
-    reach = int(STEPS * (1 - share / 100)) + 2
-    near = (F.abs(F.col("s") - F.col("step")) <= reach) | ((F.col("s") >= unknown) & (F.col("step") >= unknown - reach)) | ((F.col("step") >= unknown) & (F.col("s") >= unknown - reach))
-    tiles = from_.join(blocks.select("component", "step", "blocks"), "component").where(near)
-    tiles = tiles.select("component", "s", "k", "step", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("tile", F.xxhash64("component", "s", "k", "step", "block"))
-    tiles = stored(tiles, "tiles")
-    one = tiles.select("tile", "component", F.col("s").alias("step"), F.col("k").alias("block")).join(placed.where("loose"), ["component", "step", "block"]).select("tile", F.lit(0).alias("role"), "id")
-    two = tiles.select("tile", "component", "step", "block").join(placed, ["component", "step", "block"]).select("tile", F.lit(1).alias("role"), "id")
-    more = stored(confirm(one.unionAll(two), texts, words, share / 100, spanning=True).select("a", "b"), "links")
-    return links.unionAll(more), group
+    central = group.join(weight, "id").groupBy("component")
+    central = central.agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"), F.count("*").alias("size"))
+    around = group.join(central, "component").where("id <> centre")
+    around = around.withColumn("tile", F.xxhash64("centre", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK))))
+    centres = around.select("tile", F.lit(0).alias("role"), F.col("centre").alias("id"), F.lit(0).alias("own")).distinct()
+    star = around.select("tile", F.lit(1).alias("role"), "id", F.lit(1).alias("own")).unionAll(centres)
+    star = stored(confirm(star, texts, words, share), "star")
+    settled = star.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionAll(star.select(F.col("a").alias("id"), F.col("a").alias("centre"))).distinct()
+    of = lambda name, out: settled.select(F.col("id").alias(name), F.col("centre").alias(out))
+    left = candidates.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    left = left.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
+    loose = F.col("x") == F.col("a")
+    left = left.select(F.when(loose, F.col("a")).otherwise(F.col("b")).alias("held"), F.when(loose, F.col("b")).otherwise(F.col("a")).alias("other"))
+    degree = left.groupBy("held").agg(F.ceil(F.count("*") / CHUNK).alias("tiles"))
+    left = left.join(degree, "held").withColumn("tile", F.xxhash64("held", F.pmod(F.xxhash64("other"), F.col("tiles"))))
+    held = left.select("tile", F.lit(0).alias("role"), F.col("held").alias("id"), F.lit(0).alias("own")).distinct()
+    pairs = left.select("tile", F.lit(1).alias("role"), F.col("other").alias("id"), F.lit(1).alias("own")).unionAll(held)
+    return star.unionAll(confirm(pairs, texts, words, share))
+
+
+def confirm_large(large: DataFrame, found: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame | None:
+    """Links between members of the large nodes of the last depth that `found` leaves apart; None if it leaves none.
+
+    Nodes of different trees that share members make one cluster. In a cluster, members outside the component that most
+    of its members have are strays; strays are compared with all members, in tiles of BLOCK by BLOCK documents, so that
+    a document comes up once for each BLOCK strays of its cluster. Sets of less than 0.8 times the size of another are
+    never linked, so only tiles of equal or neighbouring size bands are compared.
+    """
+    groups = components(found)
+    cluster = stored(components(large.select(F.col("id").alias("a"), F.col("first").alias("b"))), "clusters")
+    cluster = cluster.withColumnRenamed("component", "cluster")
+    members = large.select("id", "n").distinct().join(cluster, "id").join(groups, "id", "left")
+    band = F.floor(F.log("n") / -math.log(min(share, 99) / 100)).cast("int")
+    members = stored(members.select("id", "n", "cluster", F.coalesce("component", "id").alias("own"), band.alias("band")), "members")
+    sizes = members.groupBy("cluster", "own").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("cluster").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.count("*").alias("parts"))
+    members = members.join(main.where("parts > 1").drop("parts"), "cluster").withColumn("stray", F.col("own") != F.col("main"))
+    blocks = lambda where: F.ceil(F.greatest(F.count(where) / BLOCK, F.sum(F.when(where, F.col("n"))) / BLOCK_SHINGLES))
+    of = members.groupBy("cluster", "band").agg(blocks(F.col("n") > 0).alias("blocks"), blocks(F.when(F.col("stray"), True)).alias("stray_blocks"))
+    of = stored(of, "blocks")
+    if of.isEmpty():
+        return None
+    placed = members.join(of, ["cluster", "band"])
+    block = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
+    next_to = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
+    beside = lambda count: of.select("cluster", F.col("band").alias("other"), F.col(count).alias("count")).where(F.col(count) > 0)
+    strays = placed.where("stray").withColumn("block", block("stray_blocks")).withColumn("other", next_to).join(beside("blocks"), ["cluster", "other"])
+    strays = strays.select("cluster", "band", "block", "other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("facing"), "id", "own")
+    every = placed.withColumn("facing", block("blocks")).withColumn("other", next_to).join(beside("stray_blocks"), ["cluster", "other"])
+    every = every.select("cluster", F.col("other").alias("band"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("block"), F.col("band").alias("other"), "facing", "id", "own")
+    tile = F.xxhash64("cluster", "band", "block", "other", "facing").alias("tile")
+    rows = strays.select(tile, F.lit(0).alias("role"), "id", "own").unionAll(every.select(tile, F.lit(1).alias("role"), "id", "own"))
+    return confirm(rows, texts, words, share)
 
 
 def links(docs: DataFrame, signed: DataFrame, words: int, share: float, trees: int = TREES) -> DataFrame:
     """Confirmed links between documents with different sets, enough of them to connect each class."""
     candidates, large = walk(signed, trees)
-    sketch = lambda name, mark: signed.select(F.col("id").alias(name), *(F.col(c).alias(mark + c) for c in ("n", "low", "high")))
     if large is not None:
-        large = stored(large.groupBy("id").agg(F.collect_set(F.struct("key", "first")).alias("nodes")).join(sketch("id", "m_"), "id"), "large")
-        apart = large.select("id", "m_n", "m_low", "m_high", F.explode(F.array_distinct("nodes.first")).alias("first"))
-        starred = apart.where("id <> first").join(sketch("first", "f_"), "first").where(alike(*map(F.col, ("m_n", "m_low", "m_high", "f_n", "f_low", "f_high"))))
-        starred = starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), agreement(*map(F.col, ("m_low", "m_high", "f_low", "f_high"))).alias("bits"))
-        candidates = union([candidates, starred])
+        sketch = lambda name, mark: signed.select(F.col("id").alias(name), *(F.col(c).alias(mark + c) for c in ("n", "low", "high")))
+        large = stored(large.select("id", "first").distinct().join(sketch("id", "m_"), "id").withColumn("n", F.col("m_n")), "large")
+        starred = large.where("id <> first").join(sketch("first", "f_"), "first").where(alike(*map(F.col, ("m_n", "m_low", "m_high", "f_n", "f_low", "f_high"))))
+        bits = agreement(*map(F.col, ("m_low", "m_high", "f_low", "f_high")))
+        candidates = union([candidates, starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), bits.alias("bits"))])
     candidates = stored(candidates, "candidates")
-    found, group = settle(candidates, docs, words, share)
-    if large is None:
-        return found
-    # members of large nodes outside the component of the first one: against the whole node
-    of = lambda name, out: group.select(F.col("id").alias(name), F.col("component").alias(out))
-    known = large.join(of("id", "own"), "id", "left").select("id", "own", "m_n", "m_low", "m_high", F.inline("nodes")).join(of("first", "theirs"), "first", "left")
-    strays = known.where(F.coalesce("own", "id") != F.coalesce("theirs", "first")).select("key", F.col("id").alias("stray"), F.col("own").alias("s_own"), *(F.col(f"m_{c}").alias(f"s_{c}") for c in ("n", "low", "high")))
-    strays = stored(strays, "strays")
-    if strays.isEmpty():
-        return found
-    near = ~F.coalesce("own", "id").eqNullSafe(F.coalesce("s_own", "stray")) & alike(*map(F.col, ("m_n", "m_low", "m_high", "s_n", "s_low", "s_high")))
-    more = strays.join(known, "key").where(near).select(F.least("id", "stray").alias("a"), F.greatest("id", "stray").alias("b"), agreement(*map(F.col, ("m_low", "m_high", "s_low", "s_high"))).alias("bits"))
-    return found.unionAll(settle(stored(more.distinct(), "candidates"), docs, words, share, few=True)[0])
+    wanted = [candidates.select(F.col("a").alias("doc_id")), candidates.select(F.col("b").alias("doc_id"))]
+    wanted += [] if large is None else [large.select(F.col("id").alias("doc_id"))]
+    texts = docs.select("doc_id", "text").join(union(wanted).hint("merge"), "doc_id", "left_semi")
+    texts = texts.withColumnRenamed("doc_id", "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
+    texts = stored(texts.drop("hash"), "texts")
+    found = stored(confirm_candidates(candidates, texts, words, share), "links")
+    more = None if large is None else confirm_large(large, found, texts, words, share)
+    return found if more is None else found.unionAll(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: float = 80.0, trees: int = TREES) -> DataFrame:
     """doc_id, set size, smallest id of the class, and whether the document is that one; a row per row of the input."""
     signed = stored(signatures(docs, words, trees), "signatures")
-    classes = stored(signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("set_id").agg(F.min("id").alias("first")), "classes")
-    distinct = stored(signed.drop("set_id").where(F.col("n") > 0).join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi"), "distinct")
-    group = stored(components(links(docs, distinct, words, share, trees)), "groups")
+    full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
+    classes = stored(full.groupBy("set_id").agg(F.min("id").alias("first")), "classes")
+    distinct = signed.drop("set_id").where(F.col("n") > 0).join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
+    found = links(docs, stored(distinct, "distinct"), words, share, trees)
+    # texts that share an id are one document
+    several = full.groupBy("id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("set_id")).where("least <> set_id").select("id")
+    several = full.join(several, "id", "left_semi").join(classes, "set_id").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    group = stored(components(found.unionAll(several)), "groups")
     whole = classes.join(group.withColumnRenamed("id", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     named = signed.select("id", "n", "set_id").join(whole, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
