@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import map_arrow, stored, temporary
 
 TREES, LEAF, DEPTHS, LEVELS = 20, 32, 4, 6
 #: Of 128 sketch bits, so many agree at least: pairs at 0.8 agree on 115 with a deviation of 3.4, and on fewer than these once in 500 million.
@@ -430,11 +430,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: float = 80.0, trees:
     full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = stored(full.groupBy("set_id").agg(F.min("id").alias("first")), "classes")
     distinct = signed.drop("set_id").where(F.col("n") > 0).join(classes.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
-    found = links(docs, stored(distinct, "distinct"), words, share, trees)
     # texts that share an id are one document
     several = full.groupBy("id").agg(F.min("set_id").alias("least"), F.max("set_id").alias("set_id")).where("least <> set_id").select("id")
     several = full.join(several, "id", "left_semi").join(classes, "set_id").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    group = stored(components(found.unionAll(several)), "groups")
+    with temporary(docs.sparkSession):
+        found = links(docs, stored(distinct, "distinct"), words, share, trees)
+        group = stored(components(found.unionAll(several)), "groups", keep=True)
     whole = classes.join(group.withColumnRenamed("id", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     named = signed.select("id", "n", "set_id").join(whole, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
