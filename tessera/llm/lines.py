@@ -5,7 +5,8 @@ runs already hold often enough (nothing more is to be learned about them), and w
 When a level holds `fan_out` runs they are merged into one of the next level, so a key lies in few runs and is rewritten
 a logarithmic number of times. Runs are bucketed and sorted tables, so merges and anti-joins need no shuffle of old runs.
 
-Every row of the input counts as a document. A null or empty text is one empty line; empty keys are never dropped.
+Every row of the input counts as a document. A null or empty text is one empty line; empty keys are never dropped. Rows with one
+id, or a null id, lose the lines that any row of that id is to lose. Runs are removed when the frequent keys are known.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, map_arrow, scratch
+from .common import SPACES, map_arrow, scratch, stored, temporary
 
 BATCHES, FAN_OUT, MIN_DOCUMENTS = 4, 2, 10
 
@@ -82,21 +83,33 @@ class SortedRuns:
 
     @staticmethod
     def _total(runs: list[DataFrame]) -> DataFrame:
+        """Counts of all runs, by merge joins: a union of bucketed scans must not be aggregated, as Spark takes it to be dealt by
+        key where its columnar form is not."""
         merged = runs[0]
         for run in runs[1:]:
-            merged = merged.unionAll(run)
-        return merged.groupBy("key").agg(F.sum("n").alias("n"))
+            both = F.coalesce(merged["n"], F.lit(0)) + F.coalesce(run["n"], F.lit(0))
+            merged = merged.join(run, "key", "full").select("key", both.alias("n"))
+        return merged
 
     def frequent(self, least: int) -> DataFrame:
         """Keys that all runs together hold so often."""
         return self._total(self.runs()).where(F.col("n") >= least).select("key")
 
+    def drop(self) -> None:
+        """Forget all runs; their files lie in scratch."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def frequent_keys(lines: DataFrame, batches: int, least: int, fan_out: int) -> DataFrame:
+    """Written once, so that a join with lines reads both sides from shuffles, where a very common key can be split."""
     runs = SortedRuns(lines.sparkSession, fan_out)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).groupBy("key").agg(F.count("*").alias("n")), least)
-    return runs.frequent(least)
+    with temporary(lines.sparkSession):
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).groupBy("key").agg(F.count("*").alias("n")), least)
+        found = stored(runs.frequent(least), "frequent", keep=True)
+        runs.drop()
+    return found
 
 
 def drop_frequent_lines(docs: DataFrame, least: int = MIN_DOCUMENTS, batches: int = BATCHES, fan_out: int = FAN_OUT) -> DataFrame:
