@@ -1,13 +1,17 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Training follows the regularised leader with elastic-net penalties over a bounded sample of labelled rows; a temperature is then
-fitted on a part of the sample that the weights have not seen. A prediction reads the whole text and nothing else. Null texts and
-texts without a letter are `und` with score 0. Ties between languages go to the first in alphabetical order.
+Training follows the regularised leader with elastic-net penalties over a bounded sample of labelled rows, with an equal share
+for each language as far as its rows go; a temperature is then fitted on a part of the sample that the weights have not seen.
+A prediction reads the whole text and nothing else. Null texts and texts without a letter are `und` with score 0. Ties between
+languages go to the first in alphabetical order.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +21,18 @@ from pyspark.sql import functions as F
 from .common import held_out, is_held_out, map_arrow
 from .linear_text import bucket, features, sums
 
-#: Labelled rows the model is fitted on at most (expected number), and the longest text in bytes that is taken for fitting.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 65_536
+#: Labelled rows the model is fitted on at most (expected number); their texts are read whole.
+TRAIN_ROWS = 3000
 BITS, BLANK = 17, 32
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+@cache
 def letters_only() -> np.ndarray:
-    """For each code point of the lower half of Unicode's planes in use, itself if it is a letter, else a blank."""
-    points = np.arange(0x32000, dtype=np.uint32)
-    return np.where([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in points], points, BLANK).astype(np.uint32)
+    """For each code point, itself if it is a letter, else a blank."""
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, len(points))
+    return np.where(letter, points, np.uint32(BLANK))
 
 
 class Reader:
@@ -37,7 +43,7 @@ class Reader:
 
     def __call__(self, text: str | None) -> np.ndarray:
         codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-        return self.table[np.minimum(codes, len(self.table) - 1)]
+        return self.table[codes]
 
 
 def blanks(codes: np.ndarray) -> np.ndarray:
@@ -73,20 +79,27 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001) -> LanguageModel:
-    """Follow the regularised leader per coordinate: z and n accumulate, weights are their closed form under the elastic net."""
-    languages = sorted({lang for _, lang in rows})
+def fit(rows: Iterable[tuple[int, str, str]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001) -> LanguageModel:
+    """Follow the regularised leader per coordinate: z and n accumulate, weights are their closed form under the elastic net.
+
+    Rows are (id, text, language) in any order. Only the counts of their features are held, at most 2^BITS a row. The bias is
+    a coordinate like the others, of a feature that every text has once.
+    """
+    read = Reader()
+    held = [(ident, lang, *features(read(text), BLANK, blanks, extract)) for ident, text, lang in rows]
+    held.sort(key=lambda row: (row[0], row[1], row[2].tobytes(), row[3].tobytes()))
+    languages = sorted({row[1] for row in held})
     if not languages:
         return LanguageModel(["und"], np.zeros(((1 << BITS) + 1, 1), np.float32), np.zeros(1), 1.0)
-    read, known = Reader(), {lang: k for k, lang in enumerate(languages)}
-    found = [features(read(text), BLANK, blanks, extract) for text, _ in rows]
-    wanted = np.array([known[lang] for _, lang in rows])
+    known = {lang: k for k, lang in enumerate(languages)}
+    found = [row[2:] for row in held]
+    wanted = np.array([known[row[1]] for row in held])
+    rows = held
     frequency = np.zeros(1 << BITS)
     for at, _ in found:
         frequency[at] += 1
     idf = np.log((1 + len(rows)) / (1 + frequency)) + 1
-    z, n = np.zeros((1 << BITS, len(languages))), np.zeros((1 << BITS, len(languages)))
-    bias = np.zeros(len(languages))
+    z, n = (np.zeros(((1 << BITS) + 1, len(languages))) for _ in range(2))  # the last row is the bias
     order = np.random.default_rng(7).permutation(len(rows))
     learn, tune = order[len(order) // 5 :], order[: len(order) // 5]
 
@@ -99,36 +112,51 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta:
             at, count = found[k]
             if not len(at):
                 continue
-            x = (count / count.sum() * idf[at] * scale)[:, None]
+            x = np.append(count / count.sum() * idf[at] * scale, 1.0)[:, None]
+            at = np.append(at, 1 << BITS)
             w = closed(at)
-            p = softmax((x * w).sum(axis=0)[None] + bias)[0]
+            p = softmax((x * w).sum(axis=0)[None])[0]
             p[wanted[k]] -= 1
             g = x * p
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - step * w
             n[at] += g * g
-            bias -= 0.01 * p
     weights = np.vstack([closed(np.arange(1 << BITS)) * idf[:, None] * scale, np.zeros((1, len(languages)))]).astype(np.float32)
-    model = LanguageModel(languages, weights, bias, 1.0)
+    model = LanguageModel(languages, weights, closed(np.array([1 << BITS]))[0], 1.0)
     if len(tune):
-        total, count = sums([read(rows[k][0]) for k in tune], BLANK, blanks, extract, weights)
-        logits, truth = total / np.maximum(count, 1)[:, None] + bias, wanted[tune]
+        mean = [count @ weights[at] / max(count.sum(), 1) for at, count in (found[k] for k in tune)]
+        logits, truth = np.stack(mean) + model.bias, wanted[tune]
         losses = {t: -np.log(softmax(logits / t)[np.arange(len(tune)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 61)}
         model.temperature = float(min(losses, key=losses.get))
     return model
 
 
-def labelled_sample(docs: DataFrame, labelled: Column, rows: int, longest: int) -> DataFrame:
-    """About `rows` labelled rows that may be learned from, chosen by a hash of the id, the same at every run."""
-    may = docs.where(labelled & ~is_held_out() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= longest))
-    n = may.count()
-    share = min(1.0, rows / max(n, 1))
-    return may.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)) if share < 1 else may
-
-
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> LanguageModel:
-    sample = labelled_sample(docs.select("doc_id", "text", "lang"), F.col("lang").isNotNull(), rows, longest).select("doc_id", "text", "lang").toLocalIterator()
-    return fit([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))])
+def quotas(counts: dict, rows: int) -> dict:
+    """So many rows of each label that none has more than another which is not taken whole; `rows` in all."""
+    out, left = {}, rows
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], str(x[0])))):
+        out[label] = min(n, left // (len(counts) - k))
+        left -= out[label]
+    return out
+
+
+def labelled_sample(docs: DataFrame, label: str, rows: int, alike: bool) -> DataFrame:
+    """About `rows` rows with a label that may be learned from, of all labels alike or in their proportions, chosen by a hash of
+    the id: the same at every run. Ids are expected to be unique; all rows of a chosen id are taken."""
+    may = docs.where(F.col(label).isNotNull() & ~is_held_out() & F.col("doc_id").isNotNull())
+    counts = {r[label]: r["n"] for r in may.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row per label
+    if (total := sum(counts.values())) <= rows:
+        return may
+    wanted = quotas(counts, rows) if alike else {k: -(-n * rows // total) for k, n in counts.items()}
+    steps = 1_000_003
+    limit = F.create_map(*(F.lit(x) for k, n in wanted.items() for x in (k, min(steps, n * steps // counts[k] + 1))))
+    return may.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < limit[F.col(label)])
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
+    """A model of about `rows` labelled rows that are not held out."""
+    sample = labelled_sample(docs.select("doc_id", "text", "lang"), "lang", rows, alike=True)
+    return fit((r["doc_id"], r["text"], r["lang"]) for r in sample.select("doc_id", "text", "lang").toLocalIterator())
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
