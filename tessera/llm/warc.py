@@ -1,8 +1,9 @@
 """WARC archives with an external index merge.
 
 Each writing task makes archives of gzip members, one per record, and locally sorted runs of index lines (URL key, time, id, place). The runs are
-merged by a loser tree, range by range of URL keys, with a bounded fan-in over as many passes as it takes; what comes out is the globally
-ordered history of captures. Records are read back by that index.
+merged by a loser tree, range by range of (URL key, time, id), with a bounded fan-in over as many passes as it takes; what comes
+out is the globally ordered history of captures: (range, position) orders them all, however often one URL was captured. Records are
+read back by that index, archive by archive.
 
 Archives and runs live in the shared store of the session; file names are unique to a task attempt, and only files that a
 finished attempt reports are read, so lost executors and repeated attempts do no harm.
@@ -14,6 +15,7 @@ responses all, or revisits all.
 from __future__ import annotations
 
 import bisect
+import datetime
 import hashlib
 import json
 import re
@@ -34,6 +36,8 @@ from .common import scratch, stored
 LEAST_BYTES, RUN_ENTRIES, MARK_EVERY, FAN_IN, RANGE_ENTRIES, SPLIT_SAMPLE = 100, 100_000, 256, 64, 20_000, 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = 1_704_067_200  # pages carry no time; captures follow their ids, a second each
+FIRST_SECOND, LAST_SECOND = 0, 253_402_300_799  # of the years 1970 and 9999
+NULL_ID = -(1 << 63)  # null ids are captured at the first second of the epoch, before others of it
 
 
 def url_key(url: str | None) -> str:
@@ -50,10 +54,9 @@ def url_key(url: str | None) -> str:
 
 
 def stamp(page_id: int | None) -> tuple[str, str]:
-    """Fixed-width time of a capture, for the index and for the record."""
-    import datetime
-
-    t = datetime.datetime.fromtimestamp(EPOCH + (page_id or 0) % 2_000_000_000, datetime.UTC)
+    """Fixed-width time of a capture, for the index and for the record. Ids beyond what four-digit years hold get the first or
+    last second that they do; captures of one second are in order of their ids."""
+    t = datetime.datetime.fromtimestamp(min(max(EPOCH + (page_id or 0), FIRST_SECOND), LAST_SECOND), datetime.UTC)
     return t.strftime("%Y%m%d%H%M%S"), t.strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
@@ -114,7 +117,7 @@ def write_run(entries: Iterable[Entry], base: str) -> str:
         for k, e in enumerate(entries):
             line = ("\t".join(map(str, e)) + "\n").encode()
             if k % MARK_EVERY == 0:
-                marks.append((e[0], at))
+                marks.append((e[:3], at))
             out.write(line)
             at += len(line)
     with store.open_output_stream(f"{name}.marks") as out:
@@ -122,7 +125,9 @@ def write_run(entries: Iterable[Entry], base: str) -> str:
     return name
 
 
-MANIFEST = "run string, entries long, sample array<string>"
+Place = tuple[str, str, int]  # key, time, id
+MANIFEST = "run string, entries long, sample array<struct<key:string,time:string,id:bigint>>"
+PLACES = pa.list_(pa.struct([("key", pa.string()), ("time", pa.string()), ("id", pa.int64())]))
 
 
 def write_archives(pages: DataFrame, base: str) -> DataFrame:
@@ -138,9 +143,9 @@ def write_archives(pages: DataFrame, base: str) -> DataFrame:
             out.close()
             entries.sort()
             name, n = write_run(entries, base), len(entries)
-            sample = [e[0] for e in entries[:: max(1, n // 32)]]
+            sample = [dict(zip(("key", "time", "id"), e, strict=False)) for e in entries[:: max(1, n // 32)]]
             entries.clear()
-            return pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([sample], pa.list_(pa.string()))], ["run", "entries", "sample"])
+            return pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([sample], PLACES)], ["run", "entries", "sample"])
 
         for batch in batches:
             for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -151,7 +156,7 @@ def write_archives(pages: DataFrame, base: str) -> DataFrame:
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
                 member = packer.compress(record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), len(payload), refers_to)) + packer.flush()
                 out.write(member)
-                entries.append((url_key(url), stamp(page_id)[0], -1 if page_id is None else page_id, archive, at, len(member)))
+                entries.append((url_key(url), stamp(page_id)[0], NULL_ID if page_id is None else page_id, archive, at, len(member)))
                 at += len(member)
                 if len(entries) >= RUN_ENTRIES:
                     yield finish()
@@ -162,11 +167,11 @@ def write_archives(pages: DataFrame, base: str) -> DataFrame:
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, MANIFEST)
 
 
-def read_run(store: fs.FileSystem, name: str, low: str | None, high: str | None) -> Iterator[Entry]:
-    """Entries of a run with low <= key < high, read from the mark before low on, in buffered pieces."""
+def read_run(store: fs.FileSystem, name: str, low: Place | None, high: Place | None) -> Iterator[Entry]:
+    """Entries of a run from low to before high, read from the mark before low on, in buffered pieces."""
     with store.open_input_stream(f"{name}.marks") as f:
         marks = json.loads(f.read())
-    keys = [k for k, _ in marks["marks"]]
+    keys = [tuple(k) for k, _ in marks["marks"]]
     start = marks["marks"][max(0, bisect.bisect_left(keys, low) - 1)][1] if low is not None and keys else 0
     with store.open_input_file(name) as f:
         f.seek(start)
@@ -175,9 +180,10 @@ def read_run(store: fs.FileSystem, name: str, low: str | None, high: str | None)
             *lines, rest = (rest + piece).split(b"\n")
             for line in lines:
                 key, time, ident, archive, offset, length = line.decode().split("\t")
-                if low is not None and key < low:
+                place = (key, time, int(ident))
+                if low is not None and place < low:
                     continue
-                if high is not None and key >= high:
+                if high is not None and place >= high:
                     return
                 yield key, time, int(ident), archive, int(offset), int(length)
 
@@ -218,7 +224,8 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame
     """The index of all runs in global order of (range, position)."""
     runs = [(r["run"], r["entries"]) for r in manifest.select("run", "entries").collect()]  # a row per file, not per record
     total = sum(n for _, n in runs)
-    sample = sorted(r["k"] for r in manifest.select(F.explode("sample").alias("k")).orderBy(F.xxhash64("k"), "k").limit(SPLIT_SAMPLE).collect())
+    sample = manifest.select(F.explode("sample").alias("k")).orderBy(F.xxhash64("k"), "k").limit(SPLIT_SAMPLE).collect()
+    sample = sorted(tuple(r["k"]) for r in sample)
     n_ranges = max(1, min(-(-total // RANGE_ENTRIES), len(set(sample))))
     cuts = sorted({sample[len(sample) * k // n_ranges] for k in range(1, n_ranges)})
     ranges = list(zip([None, *cuts], [*cuts, None], strict=True))
@@ -240,10 +247,11 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame
         store, _ = fs.FileSystem.from_uri(base)
         fields = ["range", "position", "url_key", "time", "page_id", "archive", "offset", "length"]
         for batch in batches:
-            for number, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, *ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = (None if end is None else (end["key"], end["time"], end["id"]) for end in ends)
                 rows, position = [], 0
                 for e in merge([read_run(store, name, low, high) for name in names]):
-                    rows.append((number, position, *e[:2], None if e[2] < 0 else e[2], *e[3:]))
+                    rows.append((number, position, *e[:2], None if e[2] == NULL_ID else e[2], *e[3:]))
                     position += 1
                     if len(rows) == 2000:
                         yield index_batch(rows, fields)
@@ -251,7 +259,8 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame
                 if rows:
                     yield index_batch(rows, fields)
 
-    tasks = spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], "k long, low string, high string").repartitionByRange(len(ranges), "k")
+    place = "struct<key:string,time:string,id:bigint>"
+    tasks = spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], f"k long, low {place}, high {place}").repartitionByRange(len(ranges), "k")
     return tasks.mapInArrow(final, INDEX)
 
 
@@ -264,29 +273,31 @@ RECORDS = "range long, position long, url_key string, time string, page_id long,
 
 
 def read_records(index: DataFrame, base: str) -> DataFrame:
-    """The records behind index rows, in their order; of each batch the archives are read front to back."""
+    """The records behind index rows, archive by archive from front to back; (range, position) is their order in the history."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(base)
+        name, source = None, None
         for batch in batches:
             rows = batch.to_pylist()
-            found: list[dict] = [{}] * len(rows)
-            name, source = None, None
-            for k in sorted(range(len(rows)), key=lambda k: (rows[k]["archive"], rows[k]["offset"])):
-                if rows[k]["archive"] != name:
+            found = []
+            for row in rows:
+                if row["archive"] != name:
                     if source is not None:
                         source.close()
-                    name = rows[k]["archive"]
+                    name = row["archive"]
                     source = store.open_input_file(name)
-                raw = zlib.decompress(source.read_at(rows[k]["length"], rows[k]["offset"]), 31)
-                found[k] = {f: v for f, v in parse_record(raw).items() if f != "payload"}
-            if source is not None:
-                source.close()
-            columns = {c: [r[c] for r in rows] for c in ("range", "position", "url_key", "time")} | {c: [f[c] for f in found] for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")}
+                raw = zlib.decompress(source.read_at(row["length"], row["offset"]), 31)
+                found.append({f: v for f, v in parse_record(raw).items() if f != "payload"})
+            columns = {c: [r[c] for r in rows] for c in ("range", "position", "url_key", "time")}
+            columns |= {c: [f[c] for f in found] for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")}
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)], list(columns))
+        if source is not None:
+            source.close()
 
-    return index.mapInArrow(run, RECORDS)
+    # an archive holds at most RUN_ENTRIES records
+    return index.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, RECORDS)
 
 
 def archive_and_read(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
