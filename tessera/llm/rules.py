@@ -116,20 +116,39 @@ def rejected(rung: Column | int, of=F.col) -> Column:
     return reduce(Column.__or__, over)
 
 
-def binomial_upper(k: int, n: int, level: float) -> float:
-    """The exact one-sided upper bound on a share of which k of n were seen: the p at which so few have probability `level`."""
+def at_most(k: int, n: int, p: float) -> float:
+    """The probability that at most k of n are hit, each with probability p: the regularised incomplete beta function by its
+    continued fraction, whose length does not grow with n but for its square root."""
     if k >= n:
         return 1.0
 
-    def below(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+    def fraction(x: float, a: float, b: float) -> float:
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        tiny = 1e-300
+        value = c = 1.0
+        d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+        value = d
+        for m in range(1, 10_000_000):
+            for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / ((1 + term * d) or tiny)
+                c = (1 + term / c) or tiny
+                value *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return front * value
+
+    a, b, x = n - k, k + 1, 1 - p  # the probability is the function of x at (a, b)
+    return fraction(x, a, b) if x < (a + 1) / (a + b + 2) else 1 - fraction(p, b, a)
 
-    low, high = k / n or 1e-300, 1.0 - 1e-15
-    for _ in range(100):
+
+def binomial_upper(k: int, n: int, level: float) -> float:
+    """The exact one-sided upper bound on a share of which k of n were seen: the p at which so few have probability `level`."""
+    low, high = k / n if n else 0.0, 1.0
+    if k >= n:
+        return 1.0
+    for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if below(middle) > level else (low, middle)
+        low, high = (middle, high) if at_most(k, n, middle) > level else (low, middle)
     return high
 
 
@@ -142,9 +161,9 @@ def select_rungs(counted: DataFrame, labels: DataFrame, risk: float = RISK, erro
 
 
 def choose(n: int, false_rejections: list[int], risk: float, level: float) -> int:
-    """The strictest rung before the first whose bound is above the risk."""
+    """The strictest rung before the first whose bound is above the risk; so it is where so few have more than `level` at that risk."""
     for rung, k in enumerate(false_rejections):
-        if binomial_upper(k, n, level) > risk:
+        if at_most(k, n, risk) > level:
             return rung
     return len(false_rejections)
 
