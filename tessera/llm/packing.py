@@ -141,5 +141,6 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | Non
 
         return each
 
-    ranked = pieces.join(before.select("length", "task", "before"), ["length", "task"])
+    # the counts grow with tasks x lengths, so they are merged, never broadcast
+    ranked = pieces.join(before.select("length", "task", "before").hint("merge"), ["length", "task"])
     return map_arrow(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("task_rank")).alias("rank")), make, PLACED)
