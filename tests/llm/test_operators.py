@@ -2,14 +2,16 @@
 
 import hashlib
 import math
+import os
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, common, langid, lines, media, near, packing, quality, rules, token_counts, warc
+from tessera.llm import bpe, common, langid, linear_text, lines, media, near, packing, quality, rules, token_counts, warc
 from tessera.llm.byte_ids import ByteIds
 
 SF = "/root/testdata/sf0.001"
@@ -50,33 +52,66 @@ def test_bpe_equals_the_library(docs, odd):
         assert got == want
 
 
-def test_bpe_keeps_columns(odd):
+def test_bpe_keeps_columns(odd, empty):
+    assert bpe.encode_digests(empty).count() == 0
     made = bpe.encode_texts(odd)
     assert made.columns == [*odd.columns, "ids", "decoded"] and made.count() == len(ODD)
 
 
+def plain_token_counts(text, parts, ids, whole, rule):
+    """(first, characters, tokens, crossing) of each part, character by character."""
+    spans, at, raw = [], 0, text.encode()
+    assert ids.encode(raw).tolist() == whole.encode(text, add_special_tokens=False).ids
+    of = [k for k, c in enumerate(text) for _ in c.encode()]
+    for i in ids.encode(raw).tolist():
+        spans.append(sorted(set(of[at : at + ids.lengths[i]])))
+        at += ids.lengths[i]
+    owner = [k for k, part in enumerate(parts) for _ in part]
+    tokens, crossing = [0.0] * len(parts), [0] * len(parts)
+    for span in spans:
+        share = Counter(owner[c] for c in span)
+        for k in share if len(share) > 1 else ():
+            crossing[k] += 1
+        if rule == "start":
+            tokens[owner[span[0]]] += 1
+        elif rule == "majority":
+            tokens[max(share, key=lambda k: (share[k], -k))] += 1
+        else:
+            for k, n in share.items():
+                tokens[k] += n / len(span)
+    firsts = [sum(map(len, parts[:k])) for k in range(len(parts))]
+    return [(f, len(p), round(n, 6), c) for f, p, n, c in zip(firsts, parts, tokens, crossing, strict=True)]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
-def test_token_counts_equal_a_loop(docs, odd, rule):
-    whole, coder = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json")), ByteIds()
-    for _, t in [*texts_of(docs)[:20], *((i, t or "") for i, t in ODD if len(t or "") < 1000)]:
-        raw = t.encode()
-        ids = coder.encode(raw)
-        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
-        ends = np.cumsum(coder.lengths[ids])
-        firsts = token_counts.line_sections(raw)
-        got, _ = token_counts.allocate(ends, firsts, len(raw), rule)
-        owner = np.searchsorted(firsts, np.arange(len(raw)), "right") - 1
-        want = np.zeros(len(firsts))
-        for a, b in zip([0, *ends], ends, strict=False):
-            share = Counter(owner[a:b].tolist())
-            if rule == "start":
-                want[owner[a]] += 1
-            elif rule == "majority":
-                want[max(share, key=lambda k: (share[k], -k))] += 1
-            else:
-                for k, n in share.items():
-                    want[k] += n / (b - a)
-        assert np.allclose(got, want) and abs(want.sum() - len(ids)) < 1e-6
+def test_token_counts_equal_a_loop(docs, odd, empty, rule):
+    whole, ids = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json")), ByteIds()
+    for df in (docs.limit(40), odd):
+        rows = token_counts.section_token_counts(df, rule).collect()
+        got = Counter((r["doc_id"], r["section"], r["first_char"], r["n_chars"], round(r["n_tokens"], 6), r["n_crossing"]) for r in rows)
+        want = Counter()
+        for i, t in texts_of(df):
+            lines = [x for x in t.replace("\n", "\n\0").split("\0")]
+            lines = lines[:-1] if len(lines) > 1 and not lines[-1] else lines
+            want.update((i, k, *found) for k, found in enumerate(plain_token_counts(t, lines, ids, whole, rule)))
+        assert got == want
+    assert token_counts.section_token_counts(empty, rule).count() == 0
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_fields(spark, rule):
+    whole, ids = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json")), ByteIds()
+    rows = [(1, "a title", "日本 é́", 7), (2, None, None, None), (3, "", "x\n", 10), (3, "", "x\n", 10), (None, "İ", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, field string, n_tokens int")
+    for separator in ("\n", "", " é"):
+        got = token_counts.field_token_counts(df, ("title", "field", "n_tokens"), separator, rule).collect()
+        got = Counter((r["doc_id"], r["field"], r["first_char"], r["n_chars"], round(r["n_tokens"], 6), r["n_crossing"]) for r in got)
+        want = Counter()
+        for i, *values in rows:
+            values = ["" if v is None else str(v) for v in values]
+            parts = [v + separator for v in values[:-1]] + values[-1:]
+            want.update((i, f, *found) for f, found in zip(("title", "field", "n_tokens"), plain_token_counts("".join(parts), parts, ids, whole, rule), strict=True))
+        assert got == want
 
 
 def test_language_of_unseen_documents(spark):
@@ -95,6 +130,43 @@ def test_language_of_odd_texts(odd, empty, docs):
     assert langid.predict(odd, langid.train(empty)).count() == len(ODD)
 
 
+def test_letters_of_all_planes_and_rare_languages(spark):
+    read = langid.Reader()
+    assert [langid.BLANK != read(chr(c))[0] for c in (0x61, 0x4E00, 0x323AF, 0x1F600, 0xE0001, 0x10FFFF)] == [True, True, True, False, False, False]
+    assert langid.quotas({"a": 5, "b": 1000, "c": 400}, 305) == {"a": 5, "c": 150, "b": 150}
+    rows = [(i, "common words here", "en") for i in range(3000)] + [(3000 + i, "ein seltenes Wort", "de") for i in range(8)]
+    common.prepare(spark)
+    sample = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 200, alike=True)
+    found = Counter(r["lang"] for r in sample.collect())
+    assert found["de"] == sum(not common.held_out(3000 + i) for i in range(8)) and 150 < found["en"] < 250
+    model = langid.fit([(1, "tie", "b"), (1, "tie", "a")])
+    assert model.languages == ["a", "b"]
+
+
+def test_sums_do_not_depend_on_blocks(monkeypatch, docs):
+    """A plain scorer, one text at a time by its counted features, against sums over a batch in blocks of any size."""
+    texts = [t.encode() for _, t in texts_of(docs)[:30]] + [b"", b"x" * 500 + b" y", b" " * 300, "日本é ".encode() * 60]
+    gain = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1)
+    gain[-1] = 0
+    want = []
+    for t in texts:
+        at, count = quality.counted(t)
+        want.append(1 / (1 + np.exp(-((gain[at] * count).sum() / max(count.sum(), 1) + 0.3))))
+        plain = Counter(t.split())
+        assert sum(n for w, n in plain.items() if len(w) > quality.INLINE_WORD) == len(quality.long_words(np.frombuffer(t, np.uint8)))
+    for block in (97, 1 << 18):
+        monkeypatch.setattr(linear_text, "BLOCK", block)
+        assert np.allclose(quality.scores(texts, gain[:, None], 0.3), want, atol=1e-9)
+    read, weights = langid.Reader(), np.random.default_rng(2).normal(size=((1 << langid.BITS) + 1, 3))
+    weights[-1] = 0
+    codes = [read(t.decode()) for t in texts]
+    monkeypatch.setattr(linear_text, "BLOCK", 101)
+    total, n = linear_text.sums(codes, langid.BLANK, langid.blanks, langid.extract, weights)
+    for k, text in enumerate(codes):
+        at, count = linear_text.features(text, langid.BLANK, langid.blanks, langid.extract)
+        assert n[k] == count.sum() and np.allclose(total[k], count @ weights[at])
+
+
 def test_quality_of_unseen_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r["doc_id"]: r for r in quality.predict(docs, quality.train(docs, labels)).collect()}
@@ -106,7 +178,7 @@ def test_quality_of_unseen_documents(spark):
 
 
 def test_quality_of_odd_texts(odd, empty, spark):
-    labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (None, 1)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (5, None), (None, 1)], "doc_id long, quality int")
     model = quality.train(odd, labels)
     assert quality.predict(odd, model).count() == len(ODD) and quality.predict(empty, model).count() == 0
 
@@ -136,6 +208,50 @@ def test_binomial_bound_and_ladder():
     assert rules.choose(20, [0] * 8, 0.05, 0.02) == 0
 
 
+@pytest.mark.parametrize("n,p", [(10, 0.05), (300, 0.05), (2000, 0.31)])
+def test_binomial_tail_equals_its_sum(n, p):
+    terms = [math.comb(n, i) * p**i * (1 - p) ** (n - i) if n < 500 else math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(n + 1)]
+    for k in range(0, n + 1, max(1, n // 17)):
+        assert rules.at_most(k, n, p) == pytest.approx(sum(terms[: k + 1]), abs=1e-9)
+    assert 0 <= rules.at_most(49_000_000, 10**9, 0.05) < 1e-9
+
+
+def plain_verdicts(rows, good):
+    """Base verdicts and verdicts of (id, text), by the ladder and plain sums."""
+    facts = []
+    for i, t in rows:
+        words, raw = t.encode().split(), t.encode()
+        lines = [x for x in raw.split(b"\n") if x.split()]
+        n, chars, symbols, dup, repeated = plain_rules(t)
+        per = lambda x, y: x / max(y, 1)
+        values = {
+            "symbol_rate": per(symbols, n), "dup_line_rate": per(dup, len(lines)), "repeat_rate": per(repeated, n), "capital_rate": per(sum(65 <= c < 91 for c in raw), chars),
+            "exclaim_rate": per(raw.count(b"!"), n), "long_words": per(chars, n), "short_words": -per(chars, n),
+        }
+        failed = n < 50 or 100 * repeated > 50 * n
+        facts.append((i, failed, sum(n >= b for b in rules.BANDS[1:]), [any(values[s] > cut[r] for s, cut in rules.LADDER.items()) for r in range(rules.RUNGS)]))
+    rung = []
+    for band in range(len(rules.BANDS)):
+        held = [r for i, failed, own, r in facts if i in good and not failed and own == band]
+        last = 0
+        for k in range(rules.RUNGS if held else 0):
+            n, bad = len(held), sum(r[k] for r in held)
+            if bad < n and sum(math.comb(n, j) * rules.RISK**j * (1 - rules.RISK) ** (n - j) for j in range(bad + 1)) <= rules.ERROR / len(rules.BANDS):
+                last = k + 1
+            else:
+                break
+        rung.append(last)
+    return [(i, failed, not failed and not (rung[band] and out[rung[band] - 1])) for i, failed, band, out in facts]
+
+
+def test_verdicts_equal_a_plain_version(spark, odd):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    for df in (docs, odd):
+        got = [(r["doc_id"], r["base_failed"], r["kept"]) for r in rules.judge(df, labels).collect()]
+        assert sorted(got, key=str) == sorted(plain_verdicts(texts_of(df), good), key=str)
+
+
 def test_rules_keep_good_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r["doc_id"]: r for r in rules.judge(docs, labels).collect()}
@@ -194,6 +310,46 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == plain_components(rows, 2, 80)
 
 
+def test_near_duplicates_equal_all_pairs_of_a_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    common.prepare(spark)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df, 2).collect()}
+    assert got == plain_components(texts_of(df), 2, 80)
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """A group of which many members are linked with neither its centre nor one another, compared in tiles of a few."""
+    monkeypatch.setattr(near, "BLOCK", 7)
+    monkeypatch.setattr(near, "CHUNK", 5)
+    rng, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(100)]
+    for i in range(160):
+        own = list(base)
+        for k in rng.sample(range(100), rng.randint(1, 20)):
+            own[k] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(own[: rng.randint(80, 100)])))
+    common.prepare(spark)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = plain_components(rows, 2, 80)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 150
+
+
+def test_overlaps_equal_set_intersections(monkeypatch):
+    monkeypatch.setattr(near, "COLUMNS", 16)
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 120, rng.integers(1, 90), np.uint64)) for _ in range(40)]
+    for one, two in ((sets[:9], sets[9:]), (sets[:2], sets[2:]), (sets[:6], [np.array([999], np.uint64)])):
+        assert near.overlaps(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+
+
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, c), (5, c), (5, c), (6, None)]
+    common.prepare(spark)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 4, False), (6, 6, True)]
+
+
 def pairs_of_tokens(pairs, common):
     """Tokens of pairs at 0.8 (rows 2k and 2k + 1) of which other rows share about the square of `common`."""
     rng = np.random.default_rng(6)
@@ -252,10 +408,56 @@ def test_best_two_fit_is_valid_and_tight():
         assert not any(left.values()) and bins <= -(-sum(s * k for s, k in count.items()) // size) * 1.02 + 1
 
 
+def plain_pieces(rows, whole):
+    out = Counter()
+    for i, t in rows:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [(0, first), *((k, k + 1024) for k in range(first, len(ids), 1024))]
+        out.update((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(cuts))
+    return out
+
+
+def one_by_one(lengths, size):
+    """Best-two-fit a bin at a time on a list of pieces."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, room = [], size
+        for x in list(left):
+            if x <= room:
+                own.append(x)
+                left.remove(x)
+                room -= x
+        gap, least = room + own[-1], own[-1]
+        pairs = [(a + b, a) for k, a in enumerate(left) for b in left[k + 1 :] if a + b <= gap]
+        if room and pairs and max(pairs)[0] > least:
+            total = max(pairs)[0]
+            small = min(min(a, total - a) for t, a in pairs if t == total)  # of equal sums the one with the smallest piece
+            own.remove(least)
+            own += [total - small, small]
+            left.remove(small)
+            left.remove(total - small)
+            left = sorted([*left, least], reverse=True)
+        bins.append(tuple(sorted(own, reverse=True)))
+    return Counter(bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_two_fit_equals_packing_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    size = int(rng.integers(5, 60))
+    lengths = rng.integers(1, size + 1, int(rng.integers(1, 120))).tolist()
+    got = Counter()
+    for pattern, times in packing.best_two_fit(Counter(lengths), size):
+        got[tuple(s for s, k in pattern.items() for _ in range(k))] += times
+    assert got == one_by_one(lengths, size)
+
+
 def test_packing_holds_every_token_once(docs, odd, empty):
     whole = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
     for df in (docs, odd):
         rows = packing.pack(df).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == plain_pieces(texts_of(df), whole)
         places = defaultdict(list)
         for r in rows:
             places[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -318,6 +520,25 @@ def test_media_tensor_equals_a_direct_transform():
     assert rgb.shape == (16, 16, 3) and np.abs(rgb - want).max() <= 3
 
 
+def test_media_digests_equal_plain_ones(docs, odd):
+    for df in (docs, odd):
+        held = df.select("doc_id", "text")
+        made = {(r["doc_id"], r["n_bytes"]): r["media"] for r in media.store_texts(held).collect()}
+        rows = media.media_digests(media.store_texts(held)).collect()
+        assert len(rows) == df.count()
+        texts = {(i, len(t.encode())): t.encode() for i, t in texts_of(df)}
+        features = {}
+        for r in rows:
+            key = (r["doc_id"], r["n_bytes"])
+            payload, own = texts[key] + b" " * (-len(texts[key]) % 192 if texts[key] else 192), bytes(made[key])
+            assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["payload_bytes"] == len(payload)
+            assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] == len(own) and r["media_sha256"] == hashlib.sha256(own).hexdigest()
+            assert features.setdefault(texts[key], r["feature"]) == r["feature"]
+            if len(payload) < 4000:
+                rgb = media.decode_group([own], media.Tables())[0][2]
+                assert r["feature"] == f"{rgb.shape[1]}x{rgb.shape[0]} rgb " + " ".join(str(int(rgb[..., k].astype(np.int64).sum())) for k in range(3))
+
+
 def test_media_of_odd_texts(odd, empty, spark):
     rows = media.media_digests(media.store_texts(odd)).collect()
     assert len(rows) == len(ODD)
@@ -349,6 +570,17 @@ def test_archives_read_back(spark, monkeypatch):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_history_of_one_url_is_split_and_ordered(spark, monkeypatch):
+    """Ranges split the captures of one URL; ids of any size keep their order; payloads may be very long."""
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 5)
+    ids = [3, 1, 2, *range(10, 40), 2_000_000_001, 1_999_999_999, 2**62, 2**62 - 1, -5, None]
+    rows = [(i, "http://a.org/", f"payload {i} " * (100_000 if i == 2 else 20)) for i in ids]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_and_read(pages).orderBy("range", "position").collect()
+    assert [r["page_id"] for r in got] == sorted(ids, key=lambda i: i or 0) and len({r["range"] for r in got}) > 3
+    assert {r["page_id"]: r["payload_bytes"] for r in got} == {i: len(t) for i, _, t in rows}
+
+
 def test_archives_of_ids_with_two_payloads(spark):
     a, b, c = ("abc"[k] * 200 for k in range(3))
     rows = [(1, a), (2, b), (7, a), (7, c), (8, a), (8, b)]
@@ -358,16 +590,69 @@ def test_archives_of_ids_with_two_payloads(spark):
     assert got == Counter([(1, sha(a), None), (2, sha(b), None), (7, sha(a), 1), (7, sha(c), None), (8, sha(a), 1), (8, sha(b), 2)])
 
 
+def test_scratch_is_shared_and_removed(spark):
+    class Cluster:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext, conf = Cluster(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(Session(), "x")
+    with common.temporary(spark):
+        gone, left = common.stored(spark.range(3), "gone"), common.stored(spark.range(3), "left", keep=True)
+        names = [df.inputFiles()[0].removeprefix("file://") for df in (gone, left)]
+        assert gone.count() == 3
+    assert not os.path.exists(names[0]) and os.path.exists(names[1]) and left.count() == 3
+
+
+def test_line_runs_leave_no_tables(spark, docs):
+    lines.line_digests(docs).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def plain_stages(spark, docs):
+    """What each stage but the last keeps, by id, from plain versions."""
+    kept = dict(texts_of(docs))
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] == 1}
+    kept = {i: kept[i] for i, _, ok in plain_verdicts(list(kept.items()), good) if ok}
+    yield kept
+    model, read, sure = langid.train(docs.where(docs["doc_id"].isin([*kept]))), langid.Reader(), {}
+    for i, t in kept.items():
+        at, count = linear_text.features(read(t), langid.BLANK, langid.blanks, langid.extract)
+        p = langid.softmax(((count @ model.weights[at]) / max(count.sum(), 1) + model.bias)[None] / model.temperature)
+        if len(at) and p.max() >= 0.5:
+            sure[i] = t
+    yield sure
+    key = lambda x: x.encode().strip(common.SPACES).lower()
+    often = Counter(k for t in sure.values() for k in {key(x) for x in t.split("\n")})
+    kept = {i: "\n".join(x for x in t.split("\n") if not key(x) or often[key(x)] < 10) for i, t in sure.items()}
+    yield kept
+    yield {i: kept[i] for i, (_, c) in plain_components(kept.items(), 5, 80).items() if i == c}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for (name, stage), want in zip(corpus_pipeline.STAGES, plain_stages(spark, docs), strict=False):
         kept = common.stored(stage(spark, kept, SF), name)
         assert kept.columns == docs.columns
+        assert {r["doc_id"]: r["text"] for r in kept.collect()} == want
     whole = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
-    want = sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts_of(kept))
-    assert sum(r["length"] for r in corpus_pipeline.run(spark, SF).collect()) == want
-    left = {r["doc_id"]: r["text"] for r in kept.collect()}
-    assert {i for i, (_, c) in plain_components(left.items(), 5, 80).items() if i != c} == set()
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == plain_pieces(texts_of(kept), whole)
+
+
+def test_stages_on_odd_tables(spark, odd, empty):
+    """Every stage alone on nulls, empty and long texts, repeated rows and clashing columns, and on an empty table."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, odd, SF).collect()
+        if name != "best_fit_packing":
+            held = Counter(map(tuple, odd.collect()))
+            assert all(held[tuple(r)] for r in rows if name != "line_dedup") and set(rows[0].asDict() if rows else odd.columns) == set(odd.columns)
+        assert name not in ("line_dedup", "best_fit_packing") or len(rows) >= len(ODD)
+        assert stage(spark, empty, SF).count() == 0
