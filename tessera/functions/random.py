@@ -22,11 +22,6 @@ def uniform_sql(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-def fast_uniform(seed: int, *parts: Column) -> Column:
-    """For bulk, where no other engine has to agree."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) * F.lit(2.0**-53)
-
-
 def normal(*parts: object) -> Column:
     """Standard normal by Box and Muller from two counter uniforms, neither of them 0."""
     u = uniform(*parts, "r") + 2.0**-54

@@ -1,7 +1,7 @@
 """Controlled faults: mutators that change cells, rows or the schema of a table and list all they did in a manifest.
 
 Cells are chosen by a digest of seed, mutator, column and row, so a choice does not depend on partitions; exactly k are taken by a threshold on
-the k-th smallest digest. A manifest is a DataFrame (mutator, row, column, fault_type, value); structural faults have no row.
+the k-th smallest digest, so a mutator is a projection of the table and never joins it. A manifest is a DataFrame (mutator, row, column, fault_type, value); structural faults have no row.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans import model
 from ..plans.model import NUMERIC, TEXT, ChaosError, LogicalType, Table
+from .quantiles import among_smallest
 
 ROW = "row_id"
 MANIFEST = "mutator string, row long, column string, fault_type string, value string"
@@ -38,10 +39,12 @@ def order_key(*parts: object) -> Column:
     return F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
 
 
-def choose_rows(df: DataFrame, where: Column, k: int, *parts: object) -> DataFrame:
-    """row_id of the k rows with the smallest digests among those that qualify: a top-k, without a global sort."""
+def chosen(df: DataFrame, where: Column, k: int, available: int, *parts: object) -> Column:
+    """Whether a row is one of the k with the smallest digests among those that qualify, of which so many are available."""
+    if k >= available:
+        return where
     key = order_key(*parts, F.col(ROW).cast("string"))
-    return df.where(where).select(ROW, key.alias("__key")).orderBy("__key", ROW).limit(k).select(ROW)
+    return where & among_smallest(df.where(where).select(key.alias("key"), F.col(ROW).alias("tie")), k, key, F.col(ROW))
 
 
 def pick(tokens: tuple[str, ...], *parts: object) -> Column:
@@ -76,6 +79,11 @@ def empty_manifest(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], MANIFEST)
 
 
+def entry_of(rows: DataFrame, mutator: str, column: str, value: Column) -> DataFrame:
+    shown = F.substring(value.cast("string"), 1, SHOWN)
+    return rows.select(F.lit(mutator).alias("mutator"), F.col(ROW).alias("row"), F.lit(column).alias("column"), F.lit(mutator).alias("fault_type"), shown.alias("value"))
+
+
 def union_all(parts: list[DataFrame], df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else empty_manifest(df)
 
@@ -103,12 +111,11 @@ class CellMutator(Mutator):
             k = cell_count(self.proportion, facts[c])
             if not k:
                 continue
-            hit = choose_rows(table.df, F.col(c).isNotNull(), k, seed, self.name, c).withColumn("__hit", F.lit(True))
+            hit = chosen(table.df, F.col(c).isNotNull(), k, facts[c], seed, self.name, c)
             new = self.value(table, c, seed)
             old = F.col(c).cast("string") if self.textual else F.col(c)
-            df = df.join(hit, ROW, "left").withColumn(c, F.when(F.col("__hit"), new).otherwise(old)).drop("__hit")
-            shown = F.substring(new.cast("string"), 1, SHOWN)
-            entries.append(table.df.join(hit.select(ROW), ROW, "left_semi").select(F.lit(self.name).alias("mutator"), F.col(ROW).alias("row"), F.lit(c).alias("column"), F.lit(self.name).alias("fault_type"), shown.alias("value")))
+            df = df.withColumn(c, F.when(hit, new).otherwise(old))
+            entries.append(entry_of(table.df.where(hit), self.name, c, new))
         return table.with_df(df.select(ROW, *table.schema.names)), union_all(entries, table.df)
 
 
@@ -289,13 +296,10 @@ class DuplicateKeys(Mutator):
             k = cell_count(self.proportion, rows - 1)
             if source is None or not k:
                 continue
-            hit = choose_rows(table.df, F.col(ROW) != source[ROW], k, seed, self.name, *g).withColumn("__hit", F.lit(True))
-            df = df.join(hit, ROW, "left")
+            hit = chosen(table.df, F.col(ROW) != source[ROW], k, rows - 1, seed, self.name, *g)
             for c in g:
-                df = df.withColumn(c, F.when(F.col("__hit"), F.lit(source[c])).otherwise(F.col(c)))
-            df = df.drop("__hit")
-            for c in g:
-                entries.append(hit.select(F.lit(self.name).alias("mutator"), F.col(ROW).alias("row"), F.lit(c).alias("column"), F.lit(self.name).alias("fault_type"), F.lit(str(source[c])[:SHOWN]).alias("value")))
+                df = df.withColumn(c, F.when(hit, F.lit(source[c])).otherwise(F.col(c)))
+                entries.append(entry_of(table.df.where(hit), self.name, c, F.lit(str(source[c]))))
         return table.with_df(df.select(ROW, *table.schema.names)), union_all(entries, table.df)
 
 
@@ -317,9 +321,9 @@ class OrphanFk(Mutator):
                 continue
             numeric = table.schema.column(c).logical_type in NUMERIC
             value = F.lit(min(high + ORPHAN_GAP, 2**63 - 1) if isinstance(high, int) else high + 1e9) if numeric else F.concat(F.lit("__ORPHAN__"), F.col(ROW).cast("string"))
-            hit = choose_rows(table.df, F.col(c).isNotNull(), k, seed, self.name, c).withColumn("__hit", F.lit(True))
-            df = df.join(hit, ROW, "left").withColumn(c, F.when(F.col("__hit"), value).otherwise(F.col(c))).drop("__hit")
-            entries.append(hit.select(F.lit(self.name).alias("mutator"), F.col(ROW).alias("row"), F.lit(c).alias("column"), F.lit(self.name).alias("fault_type"), F.substring(value.cast("string"), 1, SHOWN).alias("value")))
+            hit = chosen(table.df, F.col(c).isNotNull(), k, facts[c]["n"], seed, self.name, c)
+            df = df.withColumn(c, F.when(hit, value).otherwise(F.col(c)))
+            entries.append(entry_of(table.df.where(hit), self.name, c, value))
         return table.with_df(df.select(ROW, *table.schema.names)), union_all(entries, table.df)
 
 
@@ -377,18 +381,23 @@ def apply_policy(table: Table, specs: list[tuple[str, dict]], seed: int, mode: s
     if rate <= 0 or not k:
         return table, empty_manifest(table.df)
     rows = manifest.select(F.col("row").alias(ROW)).distinct()
-    kept = choose_rows(rows, F.lit(True), k, seed, "policy").withColumn("__kept", F.lit(True))
+    kept = rows.where(chosen(rows, F.lit(True), k, rows.count(), seed, "policy")).withColumn("__kept", F.lit(True))
     types = {f.name: f.dataType for f in made.df.schema}
     base = table.df.select(ROW, *(F.col(c).cast(types[c]).alias(f"__{c}") for c in table.schema.names))
     mixed = made.df.join(base, ROW).join(kept, ROW, "left").select(ROW, *(F.when(F.col("__kept"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in table.schema.names))
     return table.with_df(mixed), manifest.join(kept.select(F.col(ROW).alias("row")), "row", "left_semi").select("mutator", "row", "column", "fault_type", "value")
 
 
-def changed_cells(base: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
-    """(row, column, value) of cells that differ, nulls being equal to nulls, as text."""
+def cells_of(base: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, column, same, value) of all cells of rows that both have: whether they are the same, nulls being equal to nulls, and the later text."""
     right = other.select(ROW, *(F.col(c).cast("string").alias(f"__{c}") for c in columns))
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").eqNullSafe(F.col(f"__{c}")).alias("same"), F.col(f"__{c}").alias("value")) for c in columns))
-    return base.join(right, ROW).select(F.col(ROW).alias("row"), F.inline(cells)).where(~F.col("same")).select("row", "column", "value")
+    return base.join(right, ROW).select(F.col(ROW).alias("row"), F.inline(cells))
+
+
+def changed_cells(base: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, column, value) of cells that differ."""
+    return cells_of(base, other, columns).where(~F.col("same")).select("row", "column", "value")
 
 
 @dataclass(frozen=True)
@@ -408,12 +417,14 @@ def audit_manifest(base: Table, other: Table, manifest: DataFrame) -> Audit:
     retyped = {c for c in before & after if base.schema.column(c).logical_type is not other.schema.column(c).logical_type}
     wrong = sorted(((before ^ after) | retyped) - told) + sorted(c for t, c in listed if t == "changed_type" and c not in retyped)
     common = [c for c in base.schema.names if c in after]
-    changed = changed_cells(base.df, other.df, common)
-    cells = manifest.where("row is not null").select("row", "column", F.col("value").alias("recorded")).distinct()
-    both = changed.join(cells, ["row", "column"], "left_anti").agg(F.count("*").alias("n"))
-    holds = other.df.select(F.col(ROW).alias("row"), F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.substring(F.col(c).cast("string"), 1, SHOWN).alias("now")) for c in common)))).join(cells, ["row", "column"])
-    excused = holds.where(F.col("now").eqNullSafe(F.col("recorded"))).select("row", "column").distinct()
-    absent = cells.select("row", "column").distinct().join(changed, ["row", "column"], "left_anti").join(excused, ["row", "column"], "left_anti").agg(F.count("*").alias("n"))
-    unlisted, missing = both.first()["n"], absent.first()["n"]
+    cells = manifest.where("row is not null").select("row", "column", F.col("value").alias("recorded")).distinct().withColumn("listed", F.lit(True))
+    seen = cells_of(base.df, other.df, common).withColumn("now", F.substring("value", 1, SHOWN)).select("row", "column", "same", "now")
+    # a row for each changed cell and for each listed one that is there; listed cells that are not there come with nulls
+    held = seen.join(cells, ["row", "column"], "full").where(~F.col("same") | F.col("listed"))
+    held = held.groupBy("row", "column").agg(F.max("listed").alias("listed"), F.max(~F.col("same")).alias("changed"), F.max(F.col("listed") & F.col("same").isNotNull() & F.col("now").eqNullSafe(F.col("recorded"))).alias("excused"))
+    listed_not = ~F.coalesce("listed", F.lit(False))
+    untouched = ~F.coalesce("changed", F.lit(False)) & ~F.coalesce("excused", F.lit(False))
+    sums = held.agg(F.count_if(listed_not).alias("unlisted"), F.count_if(~listed_not & untouched).alias("absent")).first()
+    unlisted, missing = sums["unlisted"], sums["absent"]
     rows = base.df.count() != other.df.count()
     return Audit(not (unlisted or missing or rows or wrong), unlisted, missing, rows, tuple(wrong))

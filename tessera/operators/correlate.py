@@ -12,13 +12,15 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 LEAST_ROWS = 3
 
 
 def ranked_values(df: DataFrame, column: str) -> DataFrame:
     """(value, average rank) for each distinct non-null value of a column."""
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    dealt = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    dealt = stored(counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "dealt")  # dealt once: borders are sampled
     sizes = dealt.groupBy("part").agg(F.sum("n").alias("rows"))
     before = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
     upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
@@ -35,8 +37,8 @@ def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return whole.select(*(f"r{k}" for k in range(len(columns))))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) over rows where both are there; columns without nulls are ranked once for all their pairs."""
+def spearman_pairs(df: DataFrame, columns: list[str], least: int = LEAST_ROWS) -> DataFrame:
+    """(a, b, rho) over rows where both are there, null for fewer than `least`; columns without nulls are ranked once for all their pairs."""
     nulls = df.agg(*(F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in columns)).first()
     full = [c for c in columns if not nulls[c]]
     clean = df.select(*(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in columns))
@@ -57,7 +59,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
             continue
         both = with_ranks(clean.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), [a, b])
         add(both.agg(F.count("*").alias("n"), F.corr("r0", "r1").alias("rho")).select("n", F.lit(a).alias("a"), F.lit(b).alias("b"), "rho"))
-    return out.select("a", "b", F.when((F.col("n") >= LEAST_ROWS) & ~F.isnan("rho"), F.round("rho", 6)).alias("rho"))
+    return out.select("a", "b", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.round("rho", 6)).alias("rho"))
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> list[list[float | None]]:

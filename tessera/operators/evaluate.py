@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import NUMERIC, LogicalType, Profile, Table
+from ..sources.scratch import stored
 from . import correlate
 from .generate import generate_marginals
 from .guard import collisions, guard_of
@@ -23,7 +24,7 @@ def ks_complement(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     both = left.select(F.col("x").cast("double").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(right.select(F.col("x").cast("double").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     counted = both.where("x is not null and not isnan(x)").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    dealt = counted.repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    dealt = stored(counted.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "dealt")  # dealt once: borders are sampled
     sizes = dealt.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     before = sizes.select("part", F.coalesce(F.sum("pa").over(w), F.lit(0)).alias("pa"), F.coalesce(F.sum("pb").over(w), F.lit(0)).alias("pb"))
@@ -113,13 +114,13 @@ def mode_accuracy(df: DataFrame, predictor: str, target: str, most: int = 50) ->
 
 
 def attribute_inference_risk(table: Table, sensitive: list[str]) -> float | None:
-    """How well another column tells a sensitive one: absolute rank correlation, or accuracy of the conditional mode."""
+    """How well another column tells a sensitive one: absolute rank correlation over five rows or more, or accuracy of the conditional mode."""
     kinds = {c.name: c.logical_type for c in table.schema.columns}
     numeric = [c for c, k in kinds.items() if k in NUMERIC]
     few = [c for c, k in kinds.items() if k in (LogicalType.STRING, LogicalType.CATEGORICAL, LogicalType.BOOLEAN)]
     risks: list[float] = []
     if len(numeric) > 1 and any(s in numeric for s in sensitive):
-        risks += [abs(r["rho"]) for r in correlate.spearman_pairs(table.df, numeric).collect() if r["rho"] is not None and (r["a"] in sensitive or r["b"] in sensitive)]
+        risks += [abs(r["rho"]) for r in correlate.spearman_pairs(table.df, numeric, 5).collect() if r["rho"] is not None and (r["a"] in sensitive or r["b"] in sensitive)]
     for p, t in permutations(few, 2):
         if t in sensitive and (a := mode_accuracy(table.df, p, t).first()["accuracy"]) is not None:
             risks.append(a)

@@ -216,13 +216,18 @@ def positions(spark: SparkSession, rows: int, partitions: int | None = None, sta
 
 def synthesize(spark: SparkSession, profile: Profile, rows: int, seed: int = 0, conditions: dict[str, Condition] | None = None, copula: bool = True, formats: bool = True, keep_position: bool = False, partitions: int | None = None, start: int = 0) -> Table:
     """Rows at the positions from `start` on."""
+    return rows_at(positions(spark, rows, partitions, start), profile, seed, conditions, copula, formats, keep_position)
+
+
+def rows_at(at: DataFrame, profile: Profile, seed: int = 0, conditions: dict[str, Condition] | None = None, copula: bool = True, formats: bool = True, keep_position: bool = False) -> Table:
+    """The rows of these positions, of a table or of a stream."""
     conditions = conditions or {}
     validate_conditions(conditions, profile.schema)
-    at = F.col(POSITION)
     keys = {c for c in profile.schema.primary_key} | {c for f in profile.schema.foreign_keys for c in f.columns}
-    df, uniforms = copula_uniforms(positions(spark, rows, partitions, start), profile, seed, keys) if copula else (positions(spark, rows, partitions, start), {})
-    columns = [draw(profile, c.name, seed, at, 0, uniforms, conditions.get(c.name), formats).alias(c.name) for c in profile.schema.columns]
-    return Table(df.select(*([at] if keep_position else []), *columns), profile.schema)
+    df, uniforms = copula_uniforms(at, profile, seed, keys) if copula else (at, {})
+    place = F.col(POSITION)
+    columns = [draw(profile, c.name, seed, place, 0, uniforms, conditions.get(c.name), formats).alias(c.name) for c in profile.schema.columns]
+    return Table(df.select(*([place] if keep_position else []), *columns), profile.schema)
 
 
 def generate_marginals(spark: SparkSession, profile: Profile, rows: int, seed: int = 0) -> Table:

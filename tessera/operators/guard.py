@@ -140,7 +140,8 @@ def nearest_reference_distance(table: Table, reference: DataFrame, key: str, col
     if scale is not None:
         own, ref = own.join(F.broadcast(scale)), ref.join(F.broadcast(scale.select(*(F.col(f"s_{c}").alias(f"t_{c}") for c in numeric))))
     if within is not None and numeric:
-        c = numeric[0]
+        widths = reference.agg(*((F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric)).join(scale).first()  # one row
+        c = max(numeric, key=lambda c: (widths[c] or 0.0) / widths[f"s_{c}"])
         cell = lambda x, s: F.coalesce(F.floor(x / s / within), F.lit(-(2**62)))  # noqa: E731  nulls meet nulls
         own = own.withColumn("__cell", F.explode(F.when(F.col(c).isNull(), F.array(cell(F.col(c), F.col(f"s_{c}")))).otherwise(F.sequence(cell(F.col(c), F.col(f"s_{c}")) - 1, cell(F.col(c), F.col(f"s_{c}")) + 1))))
         ref = ref.withColumn("__cell", cell(F.col(f"r_{c}"), F.col(f"t_{c}")))

@@ -6,7 +6,6 @@ calendar counts come from one unpivoted aggregation each.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,16 +71,18 @@ def text_lengths(df: DataFrame, column: str) -> DataFrame:
 
 
 def classify_sensitive_columns(table: Table, least_rate: float = 0.5) -> dict[str, str]:
-    """Kinds of personal data by values, then by name; all rates come from one aggregation."""
-    texts = [c.name for c in table.schema.columns if c.logical_type in TEXT]
+    """Kinds of personal data by name, else by values; all rates come from one aggregation."""
+    if not 0 < least_rate <= 1:
+        raise ValueError("a rate lies above 0 and goes up to 1")
     found: dict[str, str] = {}
+    for c in table.schema.columns:
+        if c.logical_type in TEXT | {LogicalType.DATETIME} and (hint := pii.name_hint(c.name)):
+            found[c.name] = hint
+    texts = [c.name for c in table.schema.columns if c.logical_type in TEXT and c.name not in found]
     if texts:
         rates = pii_rates(table.df, texts).collect()  # a row per column and kind
         for kind in pii.validators(F.lit("")):
             found |= {r["column"]: kind for r in rates if r["kind"] == kind and r["n"] and r["matched"] / r["n"] >= least_rate and r["column"] not in found}
-    for c in table.schema.columns:
-        if c.name not in found and c.logical_type in TEXT | {LogicalType.DATETIME} and (hint := pii.name_hint(c.name)):
-            found[c.name] = hint
     return found
 
 
@@ -180,7 +181,3 @@ def fill_calendar(df: DataFrame, moments: list[ColumnProfile]) -> None:
     for r in rows:
         p = next(p for p in moments if p.name == r["c"])
         (p.datetime.day_of_week if r["part"] == "dow" else p.datetime.month)[r["value"]] = r["n"]
-
-
-def rounded(value: float | None, digits: int = 6) -> float | None:
-    return None if value is None or math.isnan(value) else round(value, digits)

@@ -67,3 +67,29 @@ def narrow(df: DataFrame, doubles: dict[str, Column], brackets: list[Bracket], w
             continue
         b.done = inside <= whole or inside == b.inside or low == high
         b.rank, b.inside, b.low, b.high = b.rank - below, inside, low, high
+
+
+#: Rows that are sorted on the driver at the end of a search for the k-th smallest key.
+FEW, DIGITS = 4096, 3
+
+
+def among_smallest(rows: DataFrame, k: int, key: Column, tie: Column) -> Column:
+    """Whether a row is among the k with the smallest (key, tie). `rows` has them as columns key, a text of hexadecimal digits, and tie.
+
+    The k-th smallest is found by counting rows by the next digits of their key, at most 16^DIGITS counts a pass, until FEW are left;
+    what comes back is a comparison, so taking the rows needs no sort, join or limit. Equal (key, tie) are taken together.
+    """
+    prefix, left = "", k
+    while True:
+        next_digits = F.substring("key", len(prefix) + 1, DIGITS)
+        counts = rows.where(F.col("key").startswith(prefix)).groupBy(next_digits.alias("at")).agg(F.count("*").alias("n"))
+        for at, n in sorted((r["at"], r["n"]) for r in counts.collect()):
+            if left <= n:
+                break
+            left -= n
+        else:
+            return F.lit(True)
+        prefix += at
+        if n <= FEW or not at:
+            last = rows.where(F.col("key").startswith(prefix)).orderBy("key", "tie").limit(left).collect()[-1]
+            return (key < last["key"]) | ((key == last["key"]) & (tie <= F.lit(last["tie"])))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.random import normal, phi_inverse, uniform
 from ..plans.model import SPARK_TYPES, EngineError, FixtureError, GenerationError, KeyspaceError, LogicalType, Profile, Table, TableSchema
+from ..sources.scratch import stored
 from .generate import POSITION, synthesize
+from .quantiles import among_smallest
 
 
 def topological_order(schemas: dict[str, TableSchema]) -> list[str]:
@@ -190,8 +192,11 @@ def induce_rank_correlation(child: DataFrame, order: str, column: str, reference
 
 
 def global_rank(df: DataFrame, by: list[str], out: str) -> DataFrame:
-    """Row number over the whole table in two passes: range partitions, and the number of rows in earlier ones."""
-    dealt = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    """Row number over the whole table in two passes: range partitions, written once, and the number of rows in earlier ones.
+
+    The borders of range partitions are sampled, so that computing them twice may deal rows differently.
+    """
+    dealt = stored(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "dealt")
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))
     before = sizes.select("__part", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*by))).join(F.broadcast(before), "__part").withColumn(out, F.col("__k") + F.col("__before")).drop("__part", "__k", "__before")
@@ -221,44 +226,82 @@ def edges_of(schemas: dict[str, TableSchema]) -> list[Edge]:
 
 def sample_root(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """round(n * fraction) rows, one at least, by the digest of seed and key."""
+    if not 0 < fraction <= 1:
+        raise EngineError("a fraction lies above 0 and goes up to 1")
     n = df.count()
-    k = max(1, round(n * fraction))
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(k)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.where(among_smallest(df.select(digest.alias("key"), F.col(key).alias("tie")), max(1, round(n * fraction)), digest, F.col(key)))
+
+
+class Closure:
+    """Rows of tables that key values select: for each table and column, a written set of distinct values. A row is kept if any of its
+    table's sets holds its value, so equal rows stay as many as they are, and tables need no key of their own."""
+
+    def __init__(self, tables: dict[str, Table]) -> None:
+        self.tables = tables
+        self.sets: dict[str, dict[str, tuple[DataFrame, int]]] = {t: {} for t in tables}
+        self.version = dict.fromkeys(tables, 0)
+        self.seen: dict[tuple, int] = {}
+
+    def rows(self, name: str) -> DataFrame:
+        df, sets = self.tables[name].df, list(self.sets[name].items())
+        if len(sets) == 1:
+            return df.join(sets[0][1][0], F.col(sets[0][0]) == F.col("__key"), "left_semi")
+        for k, (column, (keys, _)) in enumerate(sets):
+            df = df.join(keys.select(F.col("__key").alias(f"__key{k}")), F.col(column) == F.col(f"__key{k}"), "left")
+        any_set = reduce(Column.__or__, (F.col(f"__key{k}").isNotNull() for k in range(len(sets))))
+        return df.where(any_set).select(*self.tables[name].df.columns)
+
+    def add(self, name: str, column: str, values: DataFrame) -> None:
+        """Let these values of a column select rows as well."""
+        keys = values.toDF("__key").where("__key is not null")
+        old = self.sets[name].get(column)
+        keys = stored((keys if old is None else keys.unionAll(old[0])).distinct(), "keys")
+        if (n := keys.count()) > (old[1] if old else 0):
+            self.sets[name][column] = (keys, n)
+            self.version[name] += 1
+
+    def follow(self, source: str, taken: str, name: str, column: str) -> bool:
+        """Select by the values that kept rows of the source have, if these rows may have changed since the last time."""
+        step = (source, taken, name, column)
+        if not self.sets[source] or self.seen.get(step) == self.version[source]:
+            return False
+        self.seen[step] = self.version[source]
+        before = self.version[name]
+        self.add(name, column, self.rows(source).select(taken))
+        return self.version[name] > before
 
 
 def subset_tables(tables: dict[str, Table], root: str, fraction: float, seed: int = 0) -> dict[str, DataFrame]:
-    """The sampled root rows, all that hangs on them, and all that those refer to: one pass down and one up in topological order.
+    """The sampled root rows, all that hangs on them, and all that those refer to, to a fixpoint.
 
-    Self references are followed upwards until nothing is added.
+    Downwards, rows of the root's descendants are kept that refer to a kept row of the root or of a descendant; upwards, every row
+    that a kept row refers to. Rows that are kept for being referred to bring their own children only within descendants.
     """
     schemas = {t: v.schema for t, v in tables.items()}
     if root not in tables:
         raise EngineError(f"no table {root}")
+    if len(schemas[root].primary_key) != 1:
+        raise EngineError(f"{root}: subsets need a primary key of one column")
     order, edges = topological_order(schemas), edges_of(schemas)
-    reached = {root}
-    for t in order:
-        reached |= {t} if any(e.child == t and e.parent in reached for e in edges) else set()
-    kept: dict[str, DataFrame] = {}
-    semi = lambda df, column, keys, key: df.join(keys.select(F.col(key).alias("__key")).where("__key is not null").distinct(), F.col(column) == F.col("__key"), "left_semi")
+    below: set[str] = set()
     for t in order:
-        df = tables[t].df
-        if t == root:
-            kept[t] = sample_root(df, schemas[t].primary_key[0], fraction, seed)
-        elif t in reached:
-            kept[t] = reduce(DataFrame.unionAll, (semi(df, e.column, kept[e.parent], e.referred) for e in edges if e.child == t and e.parent in kept and e.parent != t)).distinct()
-    for t in reversed(order):
-        wanted = [(e, kept[e.child]) for e in edges if e.parent == t and e.child in kept and e.child != t]
-        if wanted:
-            needed = reduce(DataFrame.unionAll, (c.select(F.col(e.column).alias("__key")) for e, c in wanted)).where("__key is not null").distinct()
-            up = tables[t].df.join(needed, F.col(wanted[0][0].referred) == F.col("__key"), "left_semi")
-            kept[t] = kept[t].unionAll(up).distinct() if t in kept else up
-        for e in (e for e in edges if e.child == e.parent == t and t in kept):
-            while True:
-                more = semi(tables[t].df, e.referred, kept[t], e.column).join(kept[t].select(F.col(e.referred).alias("__have")), F.col(e.referred) == F.col("__have"), "left_anti")
-                if more.isEmpty():
-                    break
-                kept[t] = kept[t].unionAll(more)
-    return kept
+        below |= {t} if any(e.child == t != e.parent and e.parent in below | {root} for e in edges) else set()
+    closure = Closure(tables)
+    key = schemas[root].primary_key[0]
+    closure.add(root, key, sample_root(tables[root].df, key, fraction, seed).select(key))
+    grows = True
+    while grows:
+        grows = False
+        for t in order:
+            for e in (e for e in edges if e.child == t and t in below and e.parent in below | {root}):
+                grows |= closure.follow(e.parent, e.referred, t, e.column)
+        for t in reversed(order):
+            for e in (e for e in edges if e.child == t):
+                # rows that only this reference selects refer to rows that are kept
+                if set(closure.sets[t]) != {e.column} or t not in below or e.parent not in below | {root}:
+                    grows |= closure.follow(t, e.column, e.parent, e.referred)
+    return {t: closure.rows(t) for t in order if closure.sets[t]}
 
 
 # ---------------------------------------------------------------- delta refresh

@@ -269,6 +269,15 @@ def rel_remap_keys(spark, sf_dir):
     return relate.remap_keys(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", mapping)
 
 
+_LINEITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {', '.join(_LINEITEM)}) - 1 AS row_id, {', '.join(_LINEITEM[:3])} FROM lineitem")
+def row_numbers_lineitem(spark, sf_dir):
+    made = chaos.with_row_ids(table(spark, sf_dir, "lineitem"), list(_LINEITEM))
+    return made.df.select(chaos.ROW, *_LINEITEM[:3])
+
+
 @query()
 def xcorr_reorder(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -278,7 +287,7 @@ def xcorr_reorder(spark, sf_dir):
 
 SUBSET = """WITH c0 AS (SELECT c_custkey, c_nationkey FROM customer ORDER BY md5(concat_ws('|', '7', c_custkey::VARCHAR)), c_custkey LIMIT (SELECT greatest(1, round_even(count(*) * 0.1, 0))::BIGINT FROM customer)),
 o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c0)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
-SELECT 'customer' AS "table", count(*)::BIGINT AS n FROM c0 UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM (SELECT DISTINCT * FROM l)
+SELECT 'customer' AS "table", count(*)::BIGINT AS n FROM c0 UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l
 UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c0)
 UNION ALL SELECT 'region', count(*) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c0))"""
 

@@ -8,27 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.generate import POSITION, draw
-from ..plans.model import GatedTable, Profile, require_gated
+from ..operators.generate import POSITION, rows_at, synthesize
+from ..plans.model import Profile
 
 
 def table_blocks(spark: SparkSession, profile: Profile, rows: int, seed: int, block_rows: int = 50_000) -> Iterator[DataFrame]:
-    """Blocks of a table in order, at least one; together they equal the table, whatever the block size."""
+    """Blocks of a table in order, at least one; together they equal the table that synthesize() makes, whatever the block size."""
     for start in range(0, max(rows, 1), block_rows):
-        at = spark.range(start, min(start + block_rows, rows)).withColumnRenamed("id", POSITION)
-        yield at.select(*(draw(profile, c.name, seed, F.col(POSITION)).alias(c.name) for c in profile.schema.columns))
-
-
-def load_at_once(gated: GatedTable, path: str) -> None:
-    """One partitioned write; its tasks are the chunks, and the commit is a single one."""
-    require_gated(gated).df.write.mode("overwrite").parquet(path)
+        yield synthesize(spark, profile, min(block_rows, rows - start), seed, start=start).df
 
 
 def generate_stream(spark: SparkSession, profile: Profile, seed: int, path: str, checkpoint: str, rows_per_batch: int = 1000) -> StreamingQuery:
-    """An unbounded stream of rows by position, written once each: batches are recovered from the checkpoint."""
-    at = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load().withColumnRenamed("value", POSITION)
-    rows = at.select(*(draw(profile, c.name, seed, F.col(POSITION)).alias(c.name) for c in profile.schema.columns))
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    """An unbounded stream of the rows of synthesize() by position, written once each: batches are recovered from the checkpoint."""
+    at = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load().select(F.col("value").alias(POSITION))
+    return rows_at(at, profile, seed).df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
 
 
 def event_monitor(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

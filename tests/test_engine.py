@@ -19,7 +19,7 @@ from tessera.plans.model import ChaosError, EngineError, GenerationError, Guardr
 from tessera.sources.tables import FileSource, normalize_for_export
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["profile_numeric_orders", "profile_histogram_lineitem", "profile_calendar_events", "spearman_matrix", "cramers_v_orders", "fk_orphans", "normalize_export", "gen_numeric", "gen_text", "rel_junction_pk", "guard_membership", "outlier_filter", "similarity_filter", "chaos_outlier", "chaos_duplicate_keys", "manifest_audit", "ks_complement", "subset_down_up"]
+SAMPLE = sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
