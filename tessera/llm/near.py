@@ -362,6 +362,7 @@ def confirm_candidates(candidates: DataFrame, texts: DataFrame, words: int, shar
     left = left.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
     loose = F.col("x") == F.col("a")
     left = left.select(F.when(loose, F.col("a")).otherwise(F.col("b")).alias("held"), F.when(loose, F.col("b")).otherwise(F.col("a")).alias("other"))
+    left = stored(left, "left")  # read three times below
     degree = left.groupBy("held").agg(F.ceil(F.count("*") / CHUNK).alias("tiles"))
     left = left.join(degree, "held").withColumn("tile", F.xxhash64("held", F.pmod(F.xxhash64("other"), F.col("tiles"))))
     held = left.select("tile", F.lit(0).alias("role"), F.col("held").alias("id"), F.lit(0).alias("own")).distinct()
