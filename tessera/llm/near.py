@@ -6,20 +6,21 @@ selects the token that names the next node, out of those of the tree's own hash
 Nodes of at most `LEAF` documents are compared exhaustively on one-bit sketches, larger nodes branch further, and their
 documents enter more trees. All candidates are confirmed on the full sets; only confirmed links count.
 
-Confirming: what the candidate pairs connect is held against its most central document, then the candidate pairs that
-this leaves apart are compared directly. Nodes that are still large at the last depth hold near copies of one another,
-most of which are by then in one component; the rest of their members are compared with the whole node, in blocks of
-`BLOCK` by `BLOCK` sets as products of matrices. So no pairs of a group are written out, a group of n copies costs about
-n confirmations and a row for each block of members that its centre and candidates left apart, and no link of a large
-node is lost.
+Confirming: at each depth, what the candidate pairs and the first members of large nodes connect is held against its most
+central document. Documents that this connects are not paired again, and large nodes whose members are all connected
+branch no further. At the end the candidate pairs that are still apart are compared directly. Nodes that are large at the
+last depth hold near copies of one another; the members that are apart from the others are compared with the whole node,
+in blocks of `BLOCK` by `BLOCK` sets as products of matrices. So no pairs of a group are written out, a group of n copies
+costs about n confirmations a depth and a row for each block of members that are left apart, and no link of a large node
+is lost.
 
 Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Trees share no hash
 functions, so n trees miss a pair with probability (1 - s^d)^n. Nodes begin at a depth of 3 tokens, in 20 trees. A
 document of a node of more than `LEAF` goes on to the next depth there and in the trees that begin at that depth; 20, 28,
 37 and 48 trees at 3, 4, 5 and 6 tokens each miss pairs at exactly 0.8 less than once in 1.7 million. A pair whose shared
-nodes were all large is in all trees of the next depth, so all four depths together miss less than once in 500,000
-whatever the size of the corpus, the sketch filter (once in 500 million) included. Nodes that are large at the last depth
-lose nothing more.
+nodes were all large and that is not connected yet is in all trees of the next depth, so all four depths together miss
+less than once in 500,000 whatever the size of the corpus, the sketch filter (once in 500 million) included. Nodes that
+are large at the last depth lose nothing more.
 
 Null and empty texts and texts without words are linked with nothing and have themselves as component. Rows with a null id
 have a null component and are kept. Fully repeated rows come out as often as they came in. Texts that share an id are one
@@ -29,7 +30,7 @@ document: it is linked with whatever any of them is linked with.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,70 +145,96 @@ def agreement(low1, high1, low2, high2):
 
 def compare_nodes(rows: DataFrame) -> DataFrame:
     """One pass over nodes whose rows arrive together: (node null, a, b, bits) for candidate pairs inside nodes of at most LEAF rows,
-    and (node, a, b, bits) = (key, member, first member, tree) for each row of a larger one."""
+    and (node, a, b, bits, tree) = (key, member, first member, agreement or 0 if not alike, tree) for each row of a larger one.
+    Documents of one `own` are known to be connected and are not paired."""
 
-    def batch_of(parts: list[tuple[np.ndarray, ...]], null_nodes: bool) -> pa.RecordBatch:
-        node, a, b, bits = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 4))
-        return pa.record_batch([pa.array(node, pa.int64(), mask=np.ones(len(node), bool)) if null_nodes else pa.array(node), pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], ["node", "a", "b", "bits"])
+    def batch_of(node, a, b, bits, tree, small: bool) -> pa.RecordBatch:
+        mask = np.full(len(node), small)
+        return pa.record_batch([pa.array(node, mask=mask), pa.array(a), pa.array(b), pa.array(bits, pa.int64()), pa.array(tree, pa.int32(), mask=mask)], ["node", "a", "b", "bits", "tree"])
 
-    def compare(key, ids, n, low, high, tree) -> pa.RecordBatch:
+    def pairable(x, y) -> np.ndarray:
+        return alike(*x[:3], *y[:3]) & (x[3] != y[3])
+
+    def compare(key, ids, tree, *of) -> Iterator[pa.RecordBatch]:
         found = []
         for shift in range(1, LEAF):
             same = np.flatnonzero(key[shift:] == key[:-shift])
             if not len(same):
                 break
-            other = same + shift
-            ok = alike(n[same], low[same], high[same], n[other], low[other], high[other]) & (ids[same] != ids[other])
-            same, other = same[ok], other[ok]
-            found.append((key[same], np.minimum(ids[same], ids[other]), np.maximum(ids[same], ids[other]), agreement(low[same], high[same], low[other], high[other])))
-        return batch_of(found, True)
+            ok = pairable([x[same] for x in of], [x[same + shift] for x in of]) & (ids[same] != ids[same + shift])
+            one = same[ok]
+            two = one + shift
+            found.append((key[one], np.minimum(ids[one], ids[two]), np.maximum(ids[one], ids[two]), agreement(of[1][one], of[2][one], of[1][two], of[2][two]), tree[one]))
+        if found:
+            yield batch_of(*map(np.concatenate, zip(*found, strict=True)), True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large, first = None, None, 0  # rows of the last node; the key and first member of a large node that may go on
+        held, large, first = None, None, []  # rows of the last node; the key and first member of a large node that may go on
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
-            key, ids, tree = now[0], now[1], now[5]
+            key, ids, tree, *of = now
             starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
             size = np.diff(np.append(starts, len(key)))
             big = size > LEAF
-            heads = ids[starts]
+            heads = [x[starts] for x in (ids, *of)]
             if large is not None and key[0] == large:
-                big[0], heads[0] = True, first
-            large, first = (key[-1], heads[-1]) if big[-1] else (None, 0)
+                big[0] = True
+                for head, x in zip(heads, first, strict=True):
+                    head[0] = x
+            large, first = (key[-1], [x[-1] for x in heads]) if big[-1] else (None, [])
             in_big = np.repeat(big, size)
             if big.any():
-                yield batch_of([(key[in_big], ids[in_big], np.repeat(heads, size)[in_big], tree[in_big])], False)
+                head = [np.repeat(x, size)[in_big] for x in heads]
+                own = [x[in_big] for x in of]
+                bits = np.where(pairable(own, head[1:]), agreement(own[1], own[2], head[2], head[3]), 0)
+                yield batch_of(key[in_big], ids[in_big], head[0], bits, tree[in_big], False)
             rest = ~in_big
             rest[starts[-1] :] = False
             if rest.any():
-                yield compare(*(x[rest] for x in now))
+                yield from compare(*(x[rest] for x in now))
             held = None if big[-1] else [x[starts[-1] :] for x in now]
         if held is not None:
-            yield compare(*held)
+            yield from compare(*held)
+
+    dealt = rows.select("key", "id", "tree", "n", "low", "high", "own").repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(run, "node long, a long, b long, bits long, tree int")
 
-    dealt = rows.select("key", "id", "n", "low", "high", "tree").repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "node long, a long, b long, bits int")
 
+def walk(signed: DataFrame, star: Callable[[DataFrame, DataFrame], DataFrame], trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Candidate pairs (a, b, bits), what `star` confirmed of them (a, b), the component (id, own) of confirmed documents, and the rows
+    (key, id, first) of nodes that stay large at the last depth.
 
-def walk(signed: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a, b, bits) of all small nodes, and the rows (key, id, first) of nodes that stay large at the last depth. Documents of
-    large nodes go on in those trees, and in the trees that begin at the next depth."""
+    `star` takes the candidates of a depth and the ids of its large nodes. Documents of large nodes whose members it leaves apart
+    go on in those trees, and in the trees that begin at the next depth."""
     count = trees_at(trees)
-    pairs, rows = [], signed.select("id", "n", "low", "high", F.posexplode("k0").alias("tree", "key"))
+    pairs: list[DataFrame] = []
+    rows = signed.select("id", "n", "low", "high", F.col("id").alias("own"), F.posexplode("k0").alias("tree", "key"))
     for depth in range(DEPTHS):
         if depth:
             on = large.groupBy("id").agg(F.collect_set("tree").alias("on"))  # trees by document, so the join makes a row per document
             new = F.array(*map(F.lit, range(count[depth - 1], count[depth])))
-            rows = on.join(signed.select("id", "n", "low", "high", f"k{depth}"), "id").withColumn("tree", F.explode(F.concat("on", new))).withColumn("key", F.element_at(f"k{depth}", F.col("tree") + 1))
+            rows = on.join(signed.select("id", "n", "low", "high", f"k{depth}"), "id").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
+            rows = rows.withColumn("tree", F.explode(F.concat("on", new))).withColumn("key", F.element_at(f"k{depth}", F.col("tree") + 1))
         found = stored(compare_nodes(rows), "nodes")
-        pairs.append(found.where(F.col("node").isNull()).select("a", "b", "bits"))
-        large = found.where(F.col("node").isNotNull()).select(F.col("node").alias("key"), F.col("a").alias("id"), F.col("b").alias("first"), F.col("bits").alias("tree"))
+        large = found.where(F.col("node").isNotNull())
+        starred = large.where("bits > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
+        pairs.append(stored(found.where(F.col("node").isNull()).select("a", "b", "bits").unionAll(starred).distinct(), "candidates"))
+        made = stored(star(pairs[-1], large.select(F.col("a").alias("id"))), "star")
+        if depth:
+            links = links.unionAll(made)
+            own = stored(components(links).withColumnRenamed("component", "own"), "own")
+        else:  # a star links a document to one centre
+            links = made
+            own = stored(made.select(F.col("b").alias("id"), F.col("a").alias("own")).unionAll(made.select("a", "a")).distinct(), "own")
+        large = large.select("node", F.col("a").alias("id"), F.col("b").alias("first"), "tree").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
+        apart = large.groupBy("node").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("node")
+        large = stored(large.join(apart, "node", "left_semi").drop("own"), "large")
         if large.isEmpty():
-            return union(pairs), None
-    return union(pairs), large.select("key", "id", "first")
+            return union(pairs), links, own, None
+    return union(pairs), links, own, large.select(F.col("node").alias("key"), "id", "first")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -339,13 +366,8 @@ def confirm(rows: DataFrame, texts: DataFrame, words: int, share: float) -> Data
     return dealt.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(run, "a long, b long")
 
 
-def confirm_candidates(candidates: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """Links that connect whatever the true ones of the candidate pairs connect.
-
-    First each document is held against the most central one of what the candidates connect, one comparison a document.
-    The pairs that this does not settle are then held against one another, one row a pair: a document has at most LEAF
-    of them in a node and one more for each large node.
-    """
+def confirm_star(candidates: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Links (a, b) of the most central document a of what the candidates connect with the others, one comparison a document."""
     group = stored(components(candidates), "groups")
     both = candidates.select(F.col("a").alias("id"), "bits").unionAll(candidates.select(F.col("b").alias("id"), "bits"))
     weight = both.groupBy("id").agg(F.sum(F.col("bits") - (LEAST_BITS - 1)).alias("weight"))
@@ -355,9 +377,13 @@ def confirm_candidates(candidates: DataFrame, texts: DataFrame, words: int, shar
     around = around.withColumn("tile", F.xxhash64("centre", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK))))
     centres = around.select("tile", F.lit(0).alias("role"), F.col("centre").alias("id"), F.lit(0).alias("own")).distinct()
     star = around.select("tile", F.lit(1).alias("role"), "id", F.lit(1).alias("own")).unionAll(centres)
-    star = stored(confirm(star, texts, words, share), "star")
-    settled = star.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionAll(star.select(F.col("a").alias("id"), F.col("a").alias("centre"))).distinct()
-    of = lambda name, out: settled.select(F.col("id").alias(name), F.col("centre").alias(out))
+    return confirm(star, texts, words, share)
+
+
+def confirm_apart(candidates: DataFrame, own: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Links of the candidate pairs that `own` leaves apart, one row a pair: a document has at most LEAF of them in a node
+    and one more for each large node."""
+    of = lambda name, out: own.select(F.col("id").alias(name), F.col("own").alias(out))
     left = candidates.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
     left = left.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
     loose = F.col("x") == F.col("a")
@@ -367,7 +393,7 @@ def confirm_candidates(candidates: DataFrame, texts: DataFrame, words: int, shar
     left = left.join(degree, "held").withColumn("tile", F.xxhash64("held", F.pmod(F.xxhash64("other"), F.col("tiles"))))
     held = left.select("tile", F.lit(0).alias("role"), F.col("held").alias("id"), F.lit(0).alias("own")).distinct()
     pairs = left.select("tile", F.lit(1).alias("role"), F.col("other").alias("id"), F.lit(1).alias("own")).unionAll(held)
-    return star.unionAll(confirm(pairs, texts, words, share))
+    return confirm(pairs, texts, words, share)
 
 
 def confirm_large(large: DataFrame, found: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame | None:
@@ -407,21 +433,21 @@ def confirm_large(large: DataFrame, found: DataFrame, texts: DataFrame, words: i
 
 def links(docs: DataFrame, signed: DataFrame, words: int, share: float, trees: int = TREES) -> DataFrame:
     """Confirmed links between documents with different sets, enough of them to connect each class."""
-    candidates, large = walk(signed, trees)
-    if large is not None:
-        sketch = lambda name, mark: signed.select(F.col("id").alias(name), *(F.col(c).alias(mark + c) for c in ("n", "low", "high")))
-        large = stored(large.select("id", "first").distinct().join(sketch("id", "m_"), "id").withColumn("n", F.col("m_n")), "large")
-        starred = large.where("id <> first").join(sketch("first", "f_"), "first").where(alike(*map(F.col, ("m_n", "m_low", "m_high", "f_n", "f_low", "f_high"))))
-        bits = agreement(*map(F.col, ("m_low", "m_high", "f_low", "f_high")))
-        candidates = union([candidates, starred.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"), bits.alias("bits"))])
-    candidates = stored(candidates, "candidates")
-    wanted = [candidates.select(F.col("a").alias("doc_id")), candidates.select(F.col("b").alias("doc_id"))]
-    wanted += [] if large is None else [large.select(F.col("id").alias("doc_id"))]
-    texts = docs.select("doc_id", "text").join(union(wanted).hint("merge"), "doc_id", "left_semi")
-    texts = texts.withColumnRenamed("doc_id", "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
-    texts = stored(texts.drop("hash"), "texts")
-    found = stored(confirm_candidates(candidates, texts, words, share), "links")
-    more = None if large is None else confirm_large(large, found, texts, words, share)
+    texts: list[DataFrame] = []
+
+    def star(candidates: DataFrame, members: DataFrame) -> DataFrame:
+        if not texts:  # documents of later depths are members of large nodes here
+            wanted = [candidates.select(F.col("a").alias("doc_id")), candidates.select(F.col("b").alias("doc_id")), members.select(F.col("id").alias("doc_id"))]
+            own = docs.select("doc_id", "text").join(union(wanted).hint("merge"), "doc_id", "left_semi")
+            own = own.withColumnRenamed("doc_id", "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
+            texts.append(stored(own.drop("hash"), "texts"))
+        return confirm_star(candidates, texts[0], words, share)
+
+    candidates, found, own, large = walk(signed, star, trees)
+    found = found.unionAll(stored(confirm_apart(candidates, own, texts[0], words, share), "links"))
+    if large is None:
+        return found
+    more = confirm_large(large.select("id", "first").distinct().join(signed.select("id", "n"), "id"), found, texts[0], words, share)
     return found if more is None else found.unionAll(more)
 
 

@@ -377,7 +377,8 @@ def test_pairs_of_large_nodes_are_found(spark):
     keys = [k.view(np.int64).tolist() for k in map(np.ascontiguousarray, near.paths(tokens, near.TREES))]
     rows = [(i, 100, *map(int, bits[i]), *(k[i] for k in keys)) for i in range(len(tokens))]
     signed = common.stored(spark.createDataFrame(rows, "id long, n long, low long, high long, " + ", ".join(f"k{d} array<bigint>" for d in range(near.DEPTHS))), "signed")
-    candidates, large = near.walk(signed)
+    none = spark.createDataFrame([], "a long, b long")  # nothing is confirmed, so no pair is left to an earlier link
+    candidates, _, _, large = near.walk(signed, lambda candidates, members: none)
     found = {(r["a"], r["b"]) for r in candidates.where("a % 2 = 0 and b = a + 1").collect()}
     nodes = defaultdict(set)
     for r in large.collect() if large is not None else []:
