@@ -8,11 +8,11 @@ documents enter more trees. All candidates are confirmed on the full sets; only
 
 Confirming: at each depth, what the candidate pairs and the first members of large nodes connect is held against its most
 central document. Documents that this connects are not paired again, and large nodes whose members are all connected
-branch no further. At the end the candidate pairs that are still apart are compared directly. Nodes that are large at the
-last depth hold near copies of one another; the members that are apart from the others are compared with the whole node,
-in blocks of `BLOCK` by `BLOCK` sets as products of matrices. So no pairs of a group are written out, a group of n copies
-costs about n confirmations a depth and a row for each block of members that are left apart, and no link of a large node
-is lost.
+branch no further. Large nodes that share members are a cluster. In clusters in which few members (`STRAY_BLOCKS` blocks)
+are apart from most others, these are compared with the whole cluster, in blocks of `BLOCK` by `BLOCK` sets as products of
+matrices; other clusters branch on, up to the last depth, where all are compared in this way. At the end the candidate
+pairs that are still apart are compared directly. So no pairs of a group are written out, a group of n copies costs about
+n confirmations a depth and a row for each block of members that are left apart, and no link of a large node is lost.
 
 Recall: two documents of similarity s share a node of depth d in one tree with probability s^d. Trees share no hash
 functions, so n trees miss a pair with probability (1 - s^d)^n. Nodes begin at a depth of 3 tokens, in 20 trees. A
@@ -203,14 +203,15 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node long, a long, b long, bits long, tree int")
 
 
-def walk(signed: DataFrame, star: Callable[[DataFrame, DataFrame], DataFrame], trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """Candidate pairs (a, b, bits), what `star` confirmed of them (a, b), the component (id, own) of confirmed documents, and the rows
-    (key, id, first) of nodes that stay large at the last depth.
+def walk(signed: DataFrame, star: Callable, tiles: Callable, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a, b, bits) of all depths, the links (a, b) that `star` and `tiles` confirmed, and (id, own, cluster): what each
+    confirmed document belongs to, and the cluster in which it was compared with all others.
 
-    `star` takes the candidates of a depth and the ids of its large nodes. Documents of large nodes whose members it leaves apart
-    go on in those trees, and in the trees that begin at the next depth."""
+    `star` takes the candidates of a depth and the ids of its large nodes, and gives links. `tiles` takes the rows (node, id, first, tree, own)
+    of large nodes that this leaves apart and whether the depth is the last, and gives links, the (id, cluster) that it settled, and the
+    rows of other documents. These go on in those trees, and in the trees that begin at the next depth."""
     count = trees_at(trees)
-    pairs: list[DataFrame] = []
+    pairs, links, settled = [], [], []
     rows = signed.select("id", "n", "low", "high", F.col("id").alias("own"), F.posexplode("k0").alias("tree", "key"))
     for depth in range(DEPTHS):
         if depth:
@@ -222,19 +223,24 @@ def walk(signed: DataFrame, star: Callable[[DataFrame, DataFrame], DataFrame], t
         large = found.where(F.col("node").isNotNull())
         starred = large.where("bits > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
         pairs.append(stored(found.where(F.col("node").isNull()).select("a", "b", "bits").unionAll(starred).distinct(), "candidates"))
-        made = stored(star(pairs[-1], large.select(F.col("a").alias("id"))), "star")
+        links.append(stored(star(pairs[-1], large.select(F.col("a").alias("id"))), "star"))
         if depth:
-            links = links.unionAll(made)
-            own = stored(components(links).withColumnRenamed("component", "own"), "own")
+            own = stored(components(union(links)).withColumnRenamed("component", "own"), "own")
         else:  # a star links a document to one centre
-            links = made
-            own = stored(made.select(F.col("b").alias("id"), F.col("a").alias("own")).unionAll(made.select("a", "a")).distinct(), "own")
+            own = links[0].select(F.col("b").alias("id"), F.col("a").alias("own")).unionAll(links[0].select("a", "a"))
+            own = stored(own.distinct(), "own")
         large = large.select("node", F.col("a").alias("id"), F.col("b").alias("first"), "tree").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
         apart = large.groupBy("node").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("node")
-        large = stored(large.join(apart, "node", "left_semi").drop("own"), "large")
+        large = stored(large.join(apart, "node", "left_semi"), "large")
         if large.isEmpty():
-            return union(pairs), links, own, None
-    return union(pairs), links, own, large.select(F.col("node").alias("key"), "id", "first")
+            break
+        more, done, large = tiles(large, depth == DEPTHS - 1)
+        links.append(more)
+        settled.append(done)
+        if large.isEmpty():
+            break
+    done = union(settled) if settled else own.select("id", F.lit(None).cast("long").alias("cluster")).limit(0)
+    return union(pairs), union(links), stored(own.join(done, "id", "full"), "own")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -263,6 +269,8 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Sets of one side of a tile: at most so many documents, and about so many shingles, are held at a time.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Blocks of strays that each member of a cluster meets at most before the last depth; a member of a branching node costs a row for each tree.
+STRAY_BLOCKS = 4
 #: Columns of the matrices that tiles are compared by, and documents of the other side that are compared at a time.
 COLUMNS, CHUNK = 4096, 256
 
@@ -381,10 +389,11 @@ def confirm_star(candidates: DataFrame, texts: DataFrame, words: int, share: flo
 
 
 def confirm_apart(candidates: DataFrame, own: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """Links of the candidate pairs that `own` leaves apart, one row a pair: a document has at most LEAF of them in a node
-    and one more for each large node."""
-    of = lambda name, out: own.select(F.col("id").alias(name), F.col("own").alias(out))
-    left = candidates.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    """Links of the candidate pairs that `own` leaves apart and that no cluster has compared, one row a pair: a document has at
+    most LEAF of them in a node and one more for each large node."""
+    of = lambda name, out, place: own.select(F.col("id").alias(name), F.col("own").alias(out), F.col("cluster").alias(place))
+    left = candidates.join(of("a", "x", "at_x"), "a", "left").join(of("b", "y", "at_y"), "b", "left")
+    left = left.where(F.coalesce(F.col("at_x") != F.col("at_y"), F.lit(True)))
     left = left.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
     loose = F.col("x") == F.col("a")
     left = left.select(F.when(loose, F.col("a")).otherwise(F.col("b")).alias("held"), F.when(loose, F.col("b")).otherwise(F.col("a")).alias("other"))
@@ -396,28 +405,28 @@ def confirm_apart(candidates: DataFrame, own: DataFrame, texts: DataFrame, words
     return confirm(pairs, texts, words, share)
 
 
-def confirm_large(large: DataFrame, found: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame | None:
-    """Links between members of the large nodes of the last depth that `found` leaves apart; None if it leaves none.
+def place_large(large: DataFrame, sizes: DataFrame, share: float, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tiles (tile, role, id, own) of the clusters of large nodes that are compared now, their members (id, cluster), and the rows of the others.
 
     Nodes of different trees that share members make one cluster. In a cluster, members outside the component that most
     of its members have are strays; strays are compared with all members, in tiles of BLOCK by BLOCK documents, so that
     a document comes up once for each BLOCK strays of its cluster. Sets of less than 0.8 times the size of another are
-    never linked, so only tiles of equal or neighbouring size bands are compared.
+    never linked, so only tiles of equal or neighbouring size bands are compared. Unless the depth is the last, clusters with
+    more than STRAY_BLOCKS blocks of strays in a band are left to branch on, which is cheaper then.
     """
-    groups = components(found)
-    cluster = stored(components(large.select(F.col("id").alias("a"), F.col("first").alias("b"))), "clusters")
-    cluster = cluster.withColumnRenamed("component", "cluster")
-    members = large.select("id", "n").distinct().join(cluster, "id").join(groups, "id", "left")
+    cluster = components(large.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
+    members = large.select("id", "own").distinct().join(cluster, "id").join(sizes, "id")
     band = F.floor(F.log("n") / -math.log(min(share, 99) / 100)).cast("int")
-    members = stored(members.select("id", "n", "cluster", F.coalesce("component", "id").alias("own"), band.alias("band")), "members")
-    sizes = members.groupBy("cluster", "own").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("cluster").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.count("*").alias("parts"))
-    members = members.join(main.where("parts > 1").drop("parts"), "cluster").withColumn("stray", F.col("own") != F.col("main"))
+    members = stored(members.withColumn("band", band), "members")
+    parts = members.groupBy("cluster", "own").agg(F.count("*").alias("size"))
+    main = parts.groupBy("cluster").agg(F.max_by("own", F.struct("size", "own")).alias("main"))
+    members = members.join(main, "cluster").withColumn("stray", F.col("own") != F.col("main"))
     blocks = lambda where: F.ceil(F.greatest(F.count(where) / BLOCK, F.sum(F.when(where, F.col("n"))) / BLOCK_SHINGLES))
     of = members.groupBy("cluster", "band").agg(blocks(F.col("n") > 0).alias("blocks"), blocks(F.when(F.col("stray"), True)).alias("stray_blocks"))
     of = stored(of, "blocks")
-    if of.isEmpty():
-        return None
+    later = of.where(F.lit(not last) & (F.col("stray_blocks") > STRAY_BLOCKS)).select("cluster").distinct()
+    of = of.join(later, "cluster", "left_anti")
+    rest = large.join(members.join(later, "cluster", "left_semi").select("id"), "id", "left_semi").drop("own")
     placed = members.join(of, ["cluster", "band"])
     block = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
     next_to = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
@@ -428,7 +437,7 @@ def confirm_large(large: DataFrame, found: DataFrame, texts: DataFrame, words: i
     every = every.select("cluster", F.col("other").alias("band"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("block"), F.col("band").alias("other"), "facing", "id", "own")
     tile = F.xxhash64("cluster", "band", "block", "other", "facing").alias("tile")
     rows = strays.select(tile, F.lit(0).alias("role"), "id", "own").unionAll(every.select(tile, F.lit(1).alias("role"), "id", "own"))
-    return confirm(rows, texts, words, share)
+    return rows, placed.select("id", "cluster"), rest
 
 
 def links(docs: DataFrame, signed: DataFrame, words: int, share: float, trees: int = TREES) -> DataFrame:
@@ -443,12 +452,12 @@ def links(docs: DataFrame, signed: DataFrame, words: int, share: float, trees: i
             texts.append(stored(own.drop("hash"), "texts"))
         return confirm_star(candidates, texts[0], words, share)
 
-    candidates, found, own, large = walk(signed, star, trees)
-    found = found.unionAll(stored(confirm_apart(candidates, own, texts[0], words, share), "links"))
-    if large is None:
-        return found
-    more = confirm_large(large.select("id", "first").distinct().join(signed.select("id", "n"), "id"), found, texts[0], words, share)
-    return found if more is None else found.unionAll(more)
+    def tiles(large: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        rows, members, rest = place_large(large, signed.select("id", "n"), share, last)
+        return stored(confirm(rows, texts[0], words, share), "links"), stored(members, "settled"), stored(rest, "large")
+
+    candidates, found, own = walk(signed, star, tiles, trees)
+    return found.unionAll(stored(confirm_apart(candidates, own, texts[0], words, share), "links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: float = 80.0, trees: int = TREES) -> DataFrame:

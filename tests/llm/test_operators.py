@@ -317,8 +317,10 @@ def test_near_duplicates_equal_all_pairs_of_a_larger_table(spark):
     assert got == plain_components(texts_of(df), 2, 80)
 
 
-def test_near_duplicates_in_small_blocks(spark, monkeypatch):
-    """A group of which many members are linked with neither its centre nor one another, compared in tiles of a few."""
+@pytest.mark.parametrize("stray_blocks", [0, 3, 1000])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, stray_blocks):
+    """A group of which many members are linked with neither its centre nor one another, compared in tiles of a few, at the last depth or before."""
+    monkeypatch.setattr(near, "STRAY_BLOCKS", stray_blocks)
     monkeypatch.setattr(near, "BLOCK", 7)
     monkeypatch.setattr(near, "CHUNK", 5)
     rng, rows = random.Random(8), []
@@ -378,11 +380,15 @@ def test_pairs_of_large_nodes_are_found(spark):
     rows = [(i, 100, *map(int, bits[i]), *(k[i] for k in keys)) for i in range(len(tokens))]
     signed = common.stored(spark.createDataFrame(rows, "id long, n long, low long, high long, " + ", ".join(f"k{d} array<bigint>" for d in range(near.DEPTHS))), "signed")
     none = spark.createDataFrame([], "a long, b long")  # nothing is confirmed, so no pair is left to an earlier link
-    candidates, _, _, large = near.walk(signed, lambda candidates, members: none)
-    found = {(r["a"], r["b"]) for r in candidates.where("a % 2 = 0 and b = a + 1").collect()}
     nodes = defaultdict(set)
-    for r in large.collect() if large is not None else []:
-        nodes[r["key"]].add(r["id"])
+
+    def branch_on(large, last):
+        for r in large.collect() if last else []:
+            nodes[r["node"]].add(r["id"])
+        return none, none.toDF("id", "cluster"), large.limit(0) if last else large
+
+    candidates, _, _ = near.walk(signed, lambda candidates, members: none, branch_on)
+    found = {(r["a"], r["b"]) for r in candidates.where("a % 2 = 0 and b = a + 1").collect()}
     found |= {(i, i + 1) for own in nodes.values() for i in own if i % 2 == 0 and i + 1 in own}
     assert found == {(i, i + 1) for i in range(0, len(tokens), 2)}
 
