@@ -15,7 +15,7 @@ from ..operators.guard import enforce_leakage_gate, gate, guard_of, scan_and_gat
 from ..operators.profile import classify_sensitive_columns
 from ..sources.tables import load_stream
 from .model import EngineError, GatedTable, GenerationError, KeyspaceError, LeakageError, LogicalType, Profile, Table, TableSchema, require_gated
-from .spec import DENIED, Spec, assert_nonprod_destination, consistency_fingerprint, spec_profiles
+from .spec import DENIED, Spec, assert_affirmed_place, assert_nonprod_destination, consistency_fingerprint, spec_profiles
 
 
 def key_bases(spec: Spec, profiles: dict[str, Profile]) -> dict[str, int]:
@@ -138,11 +138,13 @@ class ProvisionReport:
 
 
 def provision(spark: SparkSession, spec: Spec, sink, deny: tuple[str, ...] = DENIED, guards: dict[str, DataFrame] | None = None, score: bool = True, stream: bool = False) -> ProvisionReport:
-    """Check the destination, then build and check all tables, and only then write the first. With `stream`, blocks are checked and written
+    """Check the destination and that it is the sink's, then build and check all tables, and only then write the first. With `stream`, blocks are checked and written
     one by one, the first of a table replacing what was there, and tables are not scored."""
     assert_nonprod_destination(spec.destination, deny)
     if not hasattr(sink, "load"):
         raise EngineError("this destination can't be written")
+    if hasattr(sink, "place"):
+        assert_affirmed_place(spec.destination, sink.place, deny)
     report = ProvisionReport(fingerprint=consistency_fingerprint(spec))
     if stream:
         for t, blocks in groupby(stream_from_spec(spark, spec, guards), key=lambda x: x[0]):

@@ -108,7 +108,10 @@ class Spec(Strict):
 
 
 def _load(kind: type[Strict], path: str | Path):
-    data = yaml.safe_load(Path(path).read_text()) or {}
+    try:
+        data = yaml.safe_load(Path(path).read_text()) or {}
+    except (OSError, UnicodeDecodeError, yaml.YAMLError) as e:
+        raise ConfigError(f"{path} can't be read: {e}") from e
     if not isinstance(data, dict):
         raise ConfigError(f"{path} holds no mapping")
     if str(data.get("schema_version", "1")).split(".")[0] != "1":
@@ -192,3 +195,13 @@ def assert_nonprod_destination(destination: DestinationSpec | None, deny: tuple[
         # the affirmation itself is no reason to refuse
         if any(fnmatch(value.lower(), p.lower()) for p in deny):
             raise GuardrailError(f"{value} looks like production")
+
+
+def assert_affirmed_place(destination: DestinationSpec, place: tuple[str | None, str | None], deny: tuple[str, ...] = DENIED) -> None:
+    """What is written to must not look like production. A connection must be to the host and the database that the destination names, if
+    it names them; a folder has no host to compare."""
+    host, database = place
+    assert_nonprod_destination(DestinationSpec(environment=destination.environment, host=host, database=database), deny)
+    for what, affirmed, real in (("host", destination.host, host), ("database", destination.database, database)):
+        if host is not None and affirmed and affirmed != real:
+            raise GuardrailError(f"the destination affirms {what} {affirmed}, not {real}")

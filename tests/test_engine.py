@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tessera.operators import chaos, conditions, evaluate, generate, guard, profile, quantiles, relate
 from tessera import cli
 from tessera.plans import provision, registry, spec
-from tessera.plans.model import ChaosError, EngineError, GenerationError, GuardrailError, LeakageError, Profile, Table, require_gated, schema_of
-from tessera.sources.tables import FileSource, normalize_for_export
+from tessera.plans.model import ChaosError, ConfigError, EngineError, ExportError, ForeignKey, GenerationError, GuardrailError, LeakageError, Profile, SourceError, Table, TableNotFoundError, require_gated, schema_of
+from tessera.sources import tables
+from tessera.sources.tables import FileSource, JdbcSource, normalize_for_export
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = sorted(registry.oracle_sql())
@@ -274,3 +275,87 @@ def test_scores_use_as_many_reference_rows_as_the_table(spark, known, monkeypatc
     large = dataclasses.replace(known["customer"], row_count=profiled)
     assert evaluate.fidelity_report(large, generate.synthesize(spark, large, rows, 2)).columns["c_acctbal"] > 0.9
     assert drawn == [wanted]
+
+
+class Catalog(JdbcSource):
+    """A database whose queries DuckDB answers, but for the catalogs that it lacks."""
+
+    answers = {}
+
+    def query(self, sql):
+        for part, rows in self.answers.items():
+            if part in sql:
+                return self.spark.createDataFrame(*rows)
+        return self.spark.createDataFrame(self.db.execute(sql).to_arrow_table())
+
+
+@pytest.fixture
+def catalog(spark):
+    db = duckdb.connect()
+    db.execute("create table parent (a int, b int, name varchar not null unique, primary key (a, b))")
+    db.execute("create table child (k bigint primary key, second int, first int, x double, foreign key (first, second) references parent (a, b))")
+    indexes = ([("by_x", 0, 2, "k"), ("by_x", 0, 1, "x"), ("one", 1, 1, "second")], "name string, is_unique int, place int, col string")
+    return type("DuckCatalog", (Catalog,), {"db": db, "answers": {"pg_index": indexes}})(spark, "postgresql", "db1", database="shop")
+
+
+def test_introspection_of_a_database_finds_keys(catalog):
+    found = catalog.introspect("child")
+    assert found.primary_key == ("k",) and found.names == ["k", "second", "first", "x"]
+    assert found.foreign_keys == (ForeignKey(("first", "second"), "parent", ("a", "b")),)
+    assert [(i.name, i.columns, i.unique) for i in found.indexes] == [("by_x", ("x", "k"), False), ("one", ("second",), True)]
+    assert [c.name for c in found.columns if not c.nullable] == ["k"]
+    parent = catalog.introspect("main.parent")
+    assert parent.primary_key == ("a", "b") and parent.unique_constraints == (("name",),) and not parent.column("name").nullable
+    with pytest.raises(TableNotFoundError):
+        catalog.introspect("it's not there")
+
+
+def test_introspection_reads_referred_columns_in_place(spark):
+    rows = ([("PRIMARY", "PRIMARY KEY", 1, "k", None, None), ("f", "FOREIGN KEY", 2, "y", "p", "b"), ("f", "FOREIGN KEY", 1, "x", "p", "a")], "name string, kind string, place int, col string, t string, c string")
+    answers = {
+        "information_schema.columns": ([("k", "NO"), ("x", "YES"), ("y", "yes")], "col string, nullable string"),
+        "key_column_usage": rows,
+        "information_schema.statistics": ([("u", 1, 1, "x")], "name string, is_unique int, place int, col string"),
+        "WHERE 1 = 0": ([], "k long, x int, y int"),
+    }
+    found = type("Answers", (Catalog,), {"answers": answers})(spark, "mysql", "db1").introspect("t")
+    assert found.primary_key == ("k",) and found.foreign_keys == (ForeignKey(("x", "y"), "p", ("a", "b")),)
+    assert found.indexes[0].unique and [c.nullable for c in found.columns] == [False, True, True]
+    with pytest.raises(SourceError):
+        JdbcSource(spark, "none", "db1").introspect("t")
+
+
+def test_guardrail_is_bound_to_the_sink(spark, catalog):
+    nonprod = lambda **x: spec.DestinationSpec(environment="nonprod", **x)
+    assert catalog.place == ("db1", "shop")
+    for d in (nonprod(), nonprod(host="db1"), nonprod(host="db1", database="shop")):
+        spec.assert_affirmed_place(d, catalog.place)
+    for d, place in ((nonprod(host="db2"), catalog.place), (nonprod(host="db1", database="other"), catalog.place), (nonprod(host="db1", database="shop"), ("db1", None)), (nonprod(), ("prod-db", None)), (nonprod(), (None, "/data/production"))):
+        with pytest.raises(GuardrailError):
+            spec.assert_affirmed_place(d, place)
+    written = spec.Spec(destination=nonprod(host="db2"))
+    with pytest.raises(GuardrailError):
+        provision.provision(spark, written, catalog)
+
+
+def test_exit_codes(spark, tmp_path, capsys):
+    config, broken, out = tmp_path / "c.yaml", tmp_path / "b.yaml", str(tmp_path / "out")
+    config.write_text("source: {engine: mysql, table: t, connection: {host: db1, user_env: TESSERA_NONE, password_env: TESSERA_NONE}}")
+    broken.write_text("source: [")
+    assert cli.main(["test-connection", "--folder", SF]) == 0
+    assert cli.main(["schema", "--folder", SF, "--table", "nation"]) == 0
+    assert cli.main(["schema", "--folder", SF, "--table", "none"]) == 1
+    assert cli.main(["test-connection", "--folder", out]) == 1
+    # the configuration leads to a database whose credentials aren't there
+    assert cli.main(["test-connection", "--config", str(config)]) == 1 and "TESSERA_NONE" in capsys.readouterr().err
+    for words in (["schema", "--folder", SF], ["schema", "--table", "t"], ["sample", "--config", str(broken)], ["sample", "--config", out], ["schema", "--folder", SF, "--config", str(config)]):
+        assert cli.main(words) == 2, words
+    database = cli.source_of(cli.parser().parse_args(["schema", "--config", str(config), "--engine", "postgresql"]), spark, spec.load_config(config))
+    assert database.url() == "jdbc:postgresql://db1:5432/"
+    with pytest.raises(ConfigError):
+        spec.load_spec(tmp_path / "missing.yaml")
+    blocked = tmp_path / "file"
+    blocked.write_text("")
+    with pytest.raises(ExportError):
+        tables.export(Table(spark.range(1), schema_of(spark.range(1), "t")), "parquet", f"{blocked}/below")
+
