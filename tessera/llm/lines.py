@@ -1,9 +1,12 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-Documents come in batches. The distinct line keys of a batch are hashed and counted; the batch is merge-anti-joined with keys that the
-runs already hold often enough (nothing more is to be learned about them), and what is left becomes a sorted run of level 0.
-When a level holds `fan_out` runs they are merged into one of the next level, so a key lies in few runs and is rewritten
-a logarithmic number of times. Runs are bucketed and sorted tables, so merges and anti-joins need no shuffle of old runs.
+Documents come in batches, each made of whole partitions of the table. The distinct line keys of a batch are hashed and counted; the batch
+is merge-anti-joined with keys that the runs already hold often enough (nothing more is to be learned about them), and what is left becomes
+a sorted run of level 0. Where that would fill a level with `fan_out` runs, the batch and those runs become one run of the next level at
+once, so a key lies in few runs and is rewritten a logarithmic number of times; what the last batch has left is counted with all runs and
+never written. Runs are bucketed and sorted tables, so joins read old runs without a shuffle.
+
+Few files are made, as Hadoop starts a process for the permissions of each file that it makes in a local folder without native code.
 
 Every row of the input counts as a document. A null or empty text is one empty line; empty keys are never dropped. Rows with one
 id, or a null id, lose the lines that any row of that id is to lose. Runs are removed when the frequent keys are known.
@@ -15,6 +18,7 @@ import uuid
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +35,18 @@ def line_key(line: bytes) -> bytes:
 
 
 def keyed_lines(docs: DataFrame, batches: int) -> DataFrame:
-    """(doc_id, batch, key) for each distinct key of each row."""
+    """(doc_id, batch, key) for each distinct key of each row. A partition is of one batch, so a task writes one file for it."""
 
     def make():
+        number = TaskContext.get().partitionId() % batches
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, at, number = [], [], []
+            keys, at = [], []
             for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 own = {line_key(x) for x in (text or b"").split(b"\n")} - {b""}
                 keys += own
                 at += [k] * len(own)
-                number += [xxhash.xxh3_64_intdigest(text or b"") % batches] * len(own)
-            return pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(number, pa.int32())], ["doc_id", "key", "batch"])
+            return pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array([number] * len(keys), pa.int32())], ["doc_id", "key", "batch"])
 
         return each
 
@@ -66,20 +71,22 @@ class SortedRuns:
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
-    def add(self, counted: DataFrame, settled: int) -> None:
-        """Add what a batch has of keys that no run holds `settled` times."""
+    def unsettled(self, counted: DataFrame, settled: int) -> DataFrame:
+        """What a batch has of keys that no run holds `settled` times."""
         for run in self.runs():
             counted = counted.join(run.where(F.col("n") >= settled), "key", "left_anti")
-        fresh, level = self._write(counted), 0
-        while True:
-            if len(self.levels) == level:
-                self.levels.append([])
-            self.levels[level].append(fresh)
-            if len(self.levels[level]) < self.fan_out:
-                return
-            fresh = self._write(self._total([self.spark.table(x) for x in self.levels[level]]))
+        return counted
+
+    def add(self, counted: DataFrame) -> None:
+        """Write a batch as a run, together with the runs of all levels that it would fill."""
+        merged, level = [counted], 0
+        while level < len(self.levels) and len(self.levels[level]) >= self.fan_out - 1:
+            merged += [self.spark.table(x) for x in self.levels[level]]
             self.levels[level] = []
             level += 1
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(self._write(self._total(merged)))
 
     @staticmethod
     def _total(runs: list[DataFrame]) -> DataFrame:
@@ -87,13 +94,13 @@ class SortedRuns:
         key where its columnar form is not."""
         merged = runs[0]
         for run in runs[1:]:
-            both = F.coalesce(merged["n"], F.lit(0)) + F.coalesce(run["n"], F.lit(0))
-            merged = merged.join(run, "key", "full").select("key", both.alias("n"))
+            both = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+            merged = merged.join(run.select("key", F.col("n").alias("more")), "key", "full").select("key", both.alias("n"))
         return merged
 
-    def frequent(self, least: int) -> DataFrame:
-        """Keys that all runs together hold so often."""
-        return self._total(self.runs()).where(F.col("n") >= least).select("key")
+    def frequent(self, counted: DataFrame, least: int) -> DataFrame:
+        """Keys that a last batch and all runs together hold so often."""
+        return self._total([counted, *self.runs()]).where(F.col("n") >= least).select("key")
 
     def drop(self) -> None:
         """Forget all runs; their files lie in scratch."""
@@ -106,8 +113,10 @@ def frequent_keys(lines: DataFrame, batches: int, least: int, fan_out: int) -> D
     runs = SortedRuns(lines.sparkSession, fan_out)
     with temporary(lines.sparkSession):
         for b in range(batches):
-            runs.add(lines.where(F.col("batch") == b).groupBy("key").agg(F.count("*").alias("n")), least)
-        found = stored(runs.frequent(least), "frequent", keep=True)
+            fresh = runs.unsettled(lines.where(F.col("batch") == b).groupBy("key").agg(F.count("*").alias("n")), least)
+            if b < batches - 1:
+                runs.add(fresh)
+        found = stored(runs.frequent(fresh, least).hint("rebalance"), "frequent", keep=True)
         runs.drop()
     return found
 

@@ -495,6 +495,40 @@ def test_line_dedup_equals_a_count(docs, odd, least, batches, fan_out):
         assert sorted(got, key=str) == sorted(plain_lines(texts_of(df), least), key=str)
 
 
+@pytest.mark.parametrize("least,batches,fan_out", [(2, 9, 2), (10, 4, 2), (5, 8, 3), (3, 2, 4)])
+def test_line_dedup_of_many_batches_equals_a_count(docs, odd, least, batches, fan_out):
+    for df in (docs, odd):
+        dealt = df.select("doc_id", "text").repartition(8)
+        assert {r[0] for r in lines.keyed_lines(dealt, batches).select("batch").distinct().collect()} <= {*range(batches)}
+        got = [tuple(r) for r in lines.line_digests(dealt, least=least, batches=batches, fan_out=fan_out).collect()]
+        assert sorted(got, key=str) == sorted(plain_lines(texts_of(df), least), key=str)
+
+
+def test_line_dedup_makes_few_files(spark, docs, monkeypatch):
+    made, kept, write = [], [], lines.SortedRuns._write
+
+    def written(self, counted):
+        made.append(write(self, counted))
+        return made[-1]
+
+    def noted(session, tag, keep=False, place=lines.scratch):
+        kept.append(place(session, tag, keep))
+        return kept[-1]
+
+    def held(df, tag, keep=False, store=lines.stored):
+        found = store(df, tag, keep)
+        kept.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(lines.SortedRuns, "_write", written)
+    monkeypatch.setattr(lines, "scratch", noted)
+    monkeypatch.setattr(lines, "stored", held)
+    lines.line_digests(docs.repartition(8)).count()
+    assert len(made) == 3  # of four batches: a run, two in one, a run; the last batch is not written
+    assert len(spark.read.parquet(kept[0]).inputFiles()) == 8  # a file for each partition, whatever the batches
+    assert kept[-1] == 1
+
+
 def test_line_dedup_keeps_columns(odd, empty):
     assert lines.drop_frequent_lines(odd).drop("__n_lines", "__n_dropped").columns == odd.columns
     assert lines.drop_frequent_lines(empty).count() == 0
