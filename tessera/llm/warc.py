@@ -6,7 +6,7 @@ out is the globally ordered history of captures: (range, position) orders them a
 read back by that index, archive by archive.
 
 Archives and runs live in the shared store of the session; file names are unique to a task attempt, and only files that a
-finished attempt reports are read, so lost executors and repeated attempts do no harm.
+finished attempt reports to the driver are read, so lost executors and repeated attempts do no harm.
 
 Null payloads are empty, null URLs are the empty URL. Rows with a null id are responses, and nothing refers to them. Repeated rows of one id and payload are
 responses all, or revisits all.
@@ -22,18 +22,19 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, stored, temporary
 
 #: Payloads below this many bytes are never deduplicated. Entries of a run, index entries between two marks of its sparse index, runs that are
-#: merged at once, entries that a merging task is meant to make, and keys of the sample that splits the key range.
-LEAST_BYTES, RUN_ENTRIES, MARK_EVERY, FAN_IN, RANGE_ENTRIES, SPLIT_SAMPLE = 100, 100_000, 256, 64, 20_000, 10_000
+#: merged at once, entries that a merging task is meant to make, places in the sample for so many entries, and rows that a scan of pages holds at once.
+LEAST_BYTES, RUN_ENTRIES, MARK_EVERY, FAN_IN, RANGE_ENTRIES, SPLIT_SAMPLE, VECTOR_ROWS = 100, 100_000, 256, 64, 20_000, 16, 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = 1_704_067_200  # pages carry no time; captures follow their ids, a second each
 FIRST_SECOND, LAST_SECOND = 0, 253_402_300_799  # of the years 1970 and 9999
@@ -102,6 +103,7 @@ def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of payloads of pages that an earlier page has."""
     seen = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least)).select("page_id", digest_of("html").alias("digest"))
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    first = stored(first, "first")  # its size decides on the join: few copies are broadcast, so no rows are sorted for them
     return seen.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -130,8 +132,13 @@ MANIFEST = "run string, entries long, sample array<struct<key:string,time:string
 PLACES = pa.list_(pa.struct([("key", pa.string()), ("time", pa.string()), ("id", pa.int64())]))
 
 
-def write_archives(pages: DataFrame, base: str) -> DataFrame:
-    """Write all records; a row per run, for the merge. Pages have page_id, url, html and refers_to."""
+def write_archives(pages: DataFrame, base: str) -> list[Row]:
+    """Write all records; a row per run, for the merge. Pages have page_id, url, html and refers_to.
+
+    The rows are of the attempts that finished, and go to the driver, not into files of one row for each task. Their sample of places is in
+    proportion to the entries, at least a place a run.
+    """
+    step = max(1, RANGE_ENTRIES // SPLIT_SAMPLE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(base)
@@ -143,7 +150,8 @@ def write_archives(pages: DataFrame, base: str) -> DataFrame:
             out.close()
             entries.sort()
             name, n = write_run(entries, base), len(entries)
-            sample = [dict(zip(("key", "time", "id"), e, strict=False)) for e in entries[:: max(1, n // 32)]]
+            start = zlib.crc32(repr(entries[0][:3]).encode()) % min(step, n)  # another one for each run, or the places of all lie together
+            sample = [dict(zip(("key", "time", "id"), e, strict=False)) for e in entries[start::step]]
             entries.clear()
             return pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([sample], PLACES)], ["run", "entries", "sample"])
 
@@ -164,7 +172,7 @@ def write_archives(pages: DataFrame, base: str) -> DataFrame:
         if out is not None:
             yield finish()
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, MANIFEST)
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, MANIFEST).collect()
 
 
 def read_run(store: fs.FileSystem, name: str, low: Place | None, high: Place | None) -> Iterator[Entry]:
@@ -220,16 +228,14 @@ def merge(runs: list[Iterator[Entry]]) -> Iterator[Entry]:
 INDEX = "range long, position long, url_key string, time string, page_id long, archive string, offset long, length long"
 
 
-def merge_runs(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame:
+def merge_runs(spark: SparkSession, manifest: list[Row], base: str) -> DataFrame:
     """The index of all runs in global order of (range, position)."""
-    runs = [(r["run"], r["entries"]) for r in manifest.select("run", "entries").collect()]  # a row per file, not per record
-    total = sum(n for _, n in runs)
-    sample = manifest.select(F.explode("sample").alias("k")).orderBy(F.xxhash64("k"), "k").limit(SPLIT_SAMPLE).collect()
-    sample = sorted(tuple(r["k"]) for r in sample)
+    total = sum(r["entries"] for r in manifest)
+    sample = sorted(tuple(k) for r in manifest for k in r["sample"])
     n_ranges = max(1, min(-(-total // RANGE_ENTRIES), len(set(sample))))
     cuts = sorted({sample[len(sample) * k // n_ranges] for k in range(1, n_ranges)})
     ranges = list(zip([None, *cuts], [*cuts, None], strict=True))
-    names = [name for name, _ in runs]
+    names = [r["run"] for r in manifest]
     while len(names) > FAN_IN:  # a pass that leaves a run for each FAN_IN of them
 
         def shorten(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +247,7 @@ def merge_runs(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame
 
         groups = [(k, names[k : k + FAN_IN]) for k in range(0, len(names), FAN_IN)]
         tasks = spark.createDataFrame(groups, "k long, runs array<string>").repartitionByRange(len(groups), "k")
-        names = [r["run"] for r in stored(tasks.mapInArrow(shorten, "run string"), "runs").collect()]
+        names = [r["run"] for r in tasks.mapInArrow(shorten, "run string").collect()]
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(base)
@@ -300,11 +306,24 @@ def read_records(index: DataFrame, base: str) -> DataFrame:
     return index.repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, RECORDS)
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession) -> Iterator[None]:
+    """Inside, scans hold VECTOR_ROWS rows of a column at once, not thousands, as pages may be long."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(VECTOR_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def archive_and_read(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Write, merge the index and read back: the history of captures in global order of (range, position)."""
     spark = pages.sparkSession
     base = scratch(spark, "warc")
     own = pages.select("page_id", "url", "html")
-    again = stored(revisits(own, least), "revisits")
-    manifest = stored(write_archives(own.withColumn("digest", digest_of("html")).join(again, ["page_id", "digest"], "left"), base), "manifest")
+    with few_rows_at_once(spark), temporary(spark):  # the tables of copies go
+        again = stored(revisits(own, least), "revisits")
+        manifest = write_archives(own.withColumn("digest", digest_of("html")).join(again, ["page_id", "digest"], "left"), base)
     return read_records(merge_runs(spark, manifest, base), base)

@@ -631,6 +631,29 @@ def test_archives_of_ids_with_two_payloads(spark):
     assert got == Counter([(1, sha(a), None), (2, sha(b), None), (7, sha(a), 1), (7, sha(c), None), (8, sha(a), 1), (8, sha(b), 2)])
 
 
+def test_archives_of_long_pages_hold_few_rows(spark, monkeypatch):
+    """Scans hold few rows at once, and the setting comes back; only the tables of copies are written, and they go."""
+    name, seen, files = "spark.sql.parquet.columnarReaderBatchSize", [], []
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 5)
+
+    def watched(df, tag, *more):
+        out = common.stored(df, tag, *more)
+        seen.append((tag, spark.conf.get(name)))
+        files.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(warc, "stored", watched)
+    before = spark.conf.get(name, None)
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", f"payload {i % 30}" * 20) for i in range(45)], "page_id long, url string, html string").repartition(9)
+    got = warc.archive_and_read(pages).orderBy("range", "position").collect()
+    assert {r["page_id"]: r["refers_to"] for r in got} == {i: i - 30 if i >= 30 else None for i in range(45)}
+    assert [r["url_key"] for r in got] == sorted(r["url_key"] for r in got) and len({r["range"] for r in got}) > 4
+    assert seen == [("first", str(warc.VECTOR_ROWS)), ("revisits", str(warc.VECTOR_ROWS))] and warc.VECTOR_ROWS <= 64
+    assert spark.conf.get(name, None) == before
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def test_scratch_is_shared_and_removed(spark):
     class Cluster:
         master = "spark://somewhere:7077"
