@@ -45,6 +45,18 @@ TREES, LEAF, DEPTHS, LEVELS = 20, 32, 4, 6
 LEAST_BITS = 92
 
 
+#: Shuffle partitions to a file at most, and files to a core at least, of tables of ids.
+PER_FILE, PER_CORE = 8, 4
+
+
+def gathered(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """A table of ids, `stored` in few files even where small partitions are many and not merged: Hadoop starts processes for the
+    permissions of each file that it makes in a local folder without native code. What compares documents is stored as it is dealt."""
+    spark = df.sparkSession
+    files = max(PER_CORE * spark.sparkContext.defaultParallelism, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / PER_FILE))
+    return stored(df.coalesce(files), tag, keep)
+
+
 def trees_at(trees: int) -> list[int]:
     """Trees of each depth: so many that pairs at 0.8 are missed no more often than by `trees` trees at the first."""
     first = LEVELS - DEPTHS + 1
@@ -222,16 +234,16 @@ def walk(signed: DataFrame, star: Callable, tiles: Callable, trees: int = TREES)
         found = stored(compare_nodes(rows), "nodes")
         large = found.where(F.col("node").isNotNull())
         starred = large.where("bits > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
-        pairs.append(stored(found.where(F.col("node").isNull()).select("a", "b", "bits").unionAll(starred).distinct(), "candidates"))
+        pairs.append(gathered(found.where(F.col("node").isNull()).select("a", "b", "bits").unionAll(starred).distinct(), "candidates"))
         links.append(stored(star(pairs[-1], large.select(F.col("a").alias("id"))), "star"))
         if depth:
-            own = stored(components(union(links)).withColumnRenamed("component", "own"), "own")
+            own = gathered(components(union(links)).withColumnRenamed("component", "own"), "own")
         else:  # a star links a document to one centre
             own = links[0].select(F.col("b").alias("id"), F.col("a").alias("own")).unionAll(links[0].select("a", "a"))
-            own = stored(own.distinct(), "own")
+            own = gathered(own.distinct(), "own")
         large = large.select("node", F.col("a").alias("id"), F.col("b").alias("first"), "tree").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
         apart = large.groupBy("node").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("node")
-        large = stored(large.join(apart, "node", "left_semi"), "large")
+        large = gathered(large.join(apart, "node", "left_semi"), "large")
         if large.isEmpty():
             break
         more, done, large = tiles(large, depth == DEPTHS - 1)
@@ -240,7 +252,7 @@ def walk(signed: DataFrame, star: Callable, tiles: Callable, trees: int = TREES)
         if large.isEmpty():
             break
     done = union(settled) if settled else own.select("id", F.lit(None).cast("long").alias("cluster")).limit(0)
-    return union(pairs), union(links), stored(own.join(done, "id", "full"), "own")
+    return union(pairs), union(links), gathered(own.join(done, "id", "full"), "own")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -252,7 +264,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of the links, component being the smallest id reachable; alternates large and small stars until nothing moves."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    edges = gathered(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     last = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -260,7 +272,7 @@ def components(links: DataFrame) -> DataFrame:
         big = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = stored(small, "stars")
+        edges = gathered(small, "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
@@ -376,7 +388,7 @@ def confirm(rows: DataFrame, texts: DataFrame, words: int, share: float) -> Data
 
 def confirm_star(candidates: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
     """Links (a, b) of the most central document a of what the candidates connect with the others, one comparison a document."""
-    group = stored(components(candidates), "groups")
+    group = gathered(components(candidates), "groups")
     both = candidates.select(F.col("a").alias("id"), "bits").unionAll(candidates.select(F.col("b").alias("id"), "bits"))
     weight = both.groupBy("id").agg(F.sum(F.col("bits") - (LEAST_BITS - 1)).alias("weight"))
     central = group.join(weight, "id").groupBy("component")
@@ -397,7 +409,7 @@ def confirm_apart(candidates: DataFrame, own: DataFrame, texts: DataFrame, words
     left = left.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
     loose = F.col("x") == F.col("a")
     left = left.select(F.when(loose, F.col("a")).otherwise(F.col("b")).alias("held"), F.when(loose, F.col("b")).otherwise(F.col("a")).alias("other"))
-    left = stored(left, "left")  # read three times below
+    left = gathered(left, "left")  # read three times below
     degree = left.groupBy("held").agg(F.ceil(F.count("*") / CHUNK).alias("tiles"))
     left = left.join(degree, "held").withColumn("tile", F.xxhash64("held", F.pmod(F.xxhash64("other"), F.col("tiles"))))
     held = left.select("tile", F.lit(0).alias("role"), F.col("held").alias("id"), F.lit(0).alias("own")).distinct()
@@ -417,13 +429,13 @@ def place_large(large: DataFrame, sizes: DataFrame, share: float, last: bool) ->
     cluster = components(large.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
     members = large.select("id", "own").distinct().join(cluster, "id").join(sizes, "id")
     band = F.floor(F.log("n") / -math.log(min(share, 99) / 100)).cast("int")
-    members = stored(members.withColumn("band", band), "members")
+    members = gathered(members.withColumn("band", band), "members")
     parts = members.groupBy("cluster", "own").agg(F.count("*").alias("size"))
     main = parts.groupBy("cluster").agg(F.max_by("own", F.struct("size", "own")).alias("main"))
     members = members.join(main, "cluster").withColumn("stray", F.col("own") != F.col("main"))
     blocks = lambda where: F.ceil(F.greatest(F.count(where) / BLOCK, F.sum(F.when(where, F.col("n"))) / BLOCK_SHINGLES))
     of = members.groupBy("cluster", "band").agg(blocks(F.col("n") > 0).alias("blocks"), blocks(F.when(F.col("stray"), True)).alias("stray_blocks"))
-    of = stored(of, "blocks")
+    of = gathered(of, "blocks")
     later = of.where(F.lit(not last) & (F.col("stray_blocks") > STRAY_BLOCKS)).select("cluster").distinct()
     of = of.join(later, "cluster", "left_anti")
     rest = large.join(members.join(later, "cluster", "left_semi").select("id"), "id", "left_semi").drop("own")
@@ -454,7 +466,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, share: float, trees: i
 
     def tiles(large: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         rows, members, rest = place_large(large, signed.select("id", "n"), share, last)
-        return stored(confirm(rows, texts[0], words, share), "links"), stored(members, "settled"), stored(rest, "large")
+        return stored(confirm(rows, texts[0], words, share), "links"), gathered(members, "settled"), gathered(rest, "large")
 
     candidates, found, own = walk(signed, star, tiles, trees)
     return found.unionAll(stored(confirm_apart(candidates, own, texts[0], words, share), "links"))
@@ -471,7 +483,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: float = 80.0, trees:
     several = full.join(several, "id", "left_semi").join(classes, "set_id").select(F.col("id").alias("a"), F.col("first").alias("b"))
     with temporary(docs.sparkSession):
         found = links(docs, stored(distinct, "distinct"), words, share, trees)
-        group = stored(components(found.unionAll(several)), "groups", keep=True)
+        group = gathered(components(found.unionAll(several)), "groups", keep=True)
     whole = classes.join(group.withColumnRenamed("id", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     named = signed.select("id", "n", "set_id").join(whole, "set_id", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

@@ -317,6 +317,28 @@ def test_near_duplicates_equal_all_pairs_of_a_larger_table(spark):
     assert got == plain_components(texts_of(df), 2, 80)
 
 
+def test_near_duplicates_make_few_files_of_many_partitions(spark, docs, monkeypatch):
+    held = defaultdict(list)
+
+    def noted(df, tag, keep=False, store=near.stored):
+        found = store(df, tag, keep)
+        held[tag].append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(near, "stored", noted)
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for name, value in zip(before, ("96", "false"), strict=True):
+            spark.conf.set(name, value)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(docs, 2).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == plain_components(texts_of(docs), 2, 80)
+    assert {"stars", "groups", "own", "candidates"} <= held.keys()
+    assert max(n for tag in ("stars", "groups", "own", "candidates", "large", "left") for n in held[tag]) <= max(near.PER_CORE * spark.sparkContext.defaultParallelism, 96 // near.PER_FILE)
+
+
 @pytest.mark.parametrize("stray_blocks", [0, 3, 1000])
 def test_near_duplicates_in_small_blocks(spark, monkeypatch, stray_blocks):
     """A group of which many members are linked with neither its centre nor one another, compared in tiles of a few, at the last depth or before."""
