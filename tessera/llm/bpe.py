@@ -6,9 +6,10 @@ A null text counts as empty: no ids. Repeated rows give repeated results; column
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .common import as_bytes, map_arrow, tokenizer_path
 
-#: Distinct chunks that a worker remembers before it starts afresh, and the longest chunk worth remembering in bytes.
+#: Distinct chunks, and words, that a worker remembers before it forgets those it has not met meanwhile, and the longest worth remembering in bytes.
 CACHE_ENTRIES, CACHE_BYTES = 200_000, 64
 
 
@@ -27,30 +28,58 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply the merges in order of rank, leftmost first. The queue keeps entries whose symbols have changed; they are skipped when they surface."""
-    n = len(symbols)
-    if n < 2:
+def merge_word(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """Apply the merges in order of rank, leftmost first; `made` has the symbol that each rank makes. Entries of the queue are numbers,
+    the rank above the place. The queue keeps entries whose symbols have changed; they are skipped when they surface."""
+    n, rank_of = len(symbols), ranks.get
+    due = [*map(rank_of, zip(symbols, symbols[1:])), None]  # the rank of each place's pair, as it is now
+    bits = n.bit_length()
+    mask = (1 << bits) - 1
+    queue = [rank << bits | at for at, rank in enumerate(due) if rank is not None]
+    if not queue:
         return symbols
     symbol, after, before = list(symbols), [*range(1, n), -1], list(range(-1, n - 1))
-    queue = [(*found, at, symbol[at], symbol[at + 1]) for at in range(n - 1) if (found := merges.get((symbol[at], symbol[at + 1])))]
-    heapq.heapify(queue)
+    heapify(queue)
     while queue:
-        _, made, at, left, right = heapq.heappop(queue)
-        follower = after[at]
-        if symbol[at] != left or follower < 0 or symbol[follower] != right:
+        entry = heappop(queue)
+        at = entry & mask
+        if due[at] != (rank := entry >> bits):
             continue
-        symbol[at], symbol[follower] = made, -1
+        whole, follower = made[rank], after[at]
+        symbol[at], symbol[follower] = whole, -1
+        due[at] = due[follower] = None
         after[at] = beyond = after[follower]
         if beyond >= 0:
             before[beyond] = at
-            if found := merges.get((made, symbol[beyond])):
-                heapq.heappush(queue, (*found, at, made, symbol[beyond]))
-        if (ahead := before[at]) >= 0 and (found := merges.get((symbol[ahead], made))):
-            heapq.heappush(queue, (*found, ahead, symbol[ahead], made))
+            if (found := rank_of((whole, symbol[beyond]))) is not None:
+                due[at] = found
+                heappush(queue, found << bits | at)
+        if (ahead := before[at]) >= 0:
+            due[ahead] = found = rank_of((symbol[ahead], whole))
+            if found is not None:
+                heappush(queue, found << bits | ahead)
     return [s for s in symbol if s >= 0]
 
 
+class Memory(dict):
+    """Holds at most two generations of `size` entries: what is not asked for again while a generation fills is forgotten with the next."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.older = size, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def recall(self, key):
+        """An entry of the older generation, which is kept anew."""
+        found = self.older.get(key)
+        return found and self.keep(key, found)
+
+
 class BpeCodec:
     """Encoder and decoder of a byte-level BPE file with word ends, lower-casing and dropped white space."""
 
@@ -63,28 +92,26 @@ class BpeCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocabulary.items()} | {i: s for s, i in self.special.items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = {(self.vocabulary[a], self.vocabulary[b]): (rank, self.vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.alphabet = byte_alphabet()
+        self.ranks = {(self.vocabulary[a], self.vocabulary[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.vocabulary[a + b] for a, b in pairs]
+        alphabet = byte_alphabet()
+        self.units, self.ends = ([self.vocabulary.get(c + end) for c in alphabet] for end in ("", self.end))
+        self.shown = {i: b"%d " % i for i in self.strings}
+        self.spelled = {i: f"{s} ".encode() for i, s in self.strings.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special))
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
-        self.known: dict[str, list[int]] = {}
+        self.cache = Memory(CACHE_ENTRIES)  # (decimal ids, strings) by chunk or word
 
-    def word_ids(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            found = self._word_ids(word)
-            if len(word) <= CACHE_BYTES:
-                if len(self.known) >= CACHE_ENTRIES:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+    def word_ids(self, word: bytes) -> list[int]:
+        units = self.units
+        symbols = [units[b] for b in word]
+        symbols[-1] = self.ends[word[-1]]
+        return merge_word([s for s in symbols if s is not None] if None in symbols else symbols, self.ranks, self.made)
 
-    def _word_ids(self, word: str) -> list[int]:
-        units = [self.alphabet[b] for b in word.encode()]
-        units[-1] += self.end
-        return merge_word([self.vocabulary[u] for u in units if u in self.vocabulary], self.merges)
+    def split(self, text: str) -> list[str]:
+        """Words of a text without special tokens; a capital sigma lower-cases by itself, not by its place in the word."""
+        return self.words.findall((text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower())
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; the strings of special tokens in it become those tokens."""
@@ -93,23 +120,42 @@ class BpeCodec:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                # a capital sigma lower-cases by itself, not by its place in the word
-                plain = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
-                for word in self.words.findall(plain):
-                    ids += self.word_ids(word)
+                for word in self.split(part):
+                    ids += self.word_ids(word.encode())
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings in order; this vocabulary's own convention joins them by one space."""
         return " ".join(self.strings[i] for i in ids)
 
+    def _shown(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return b"".join([self.shown[i] for i in ids]), b"".join([self.spelled[i] for i in ids])
+
+    def _word(self, word: bytes) -> tuple[bytes, bytes]:
+        found = self.cache.get(word) or self.cache.recall(word)
+        if not found:
+            found = self._shown(self.word_ids(word))
+            if len(word) <= CACHE_BYTES:
+                self.cache.keep(word, found)
+        return found
+
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        ids = self.encode(chunk.decode())
-        found = b"".join(b"%d " % i for i in ids), (self.decode(ids) + " ").encode() if ids else b""
+        """A chunk that the younger generation does not hold. A lower-case word is remembered once, as a chunk is that word where it has no other."""
+        found = self.cache.recall(chunk)
+        if found:
+            return found
+        if chunk.isalpha():  # ASCII letters
+            word = chunk.lower()
+            found = self._word(word)
+            if word == chunk:
+                return found
+        elif b"<|" in chunk:
+            found = self._shown(self.encode(chunk.decode()))
+        else:
+            words = [self._word(w.encode()) for w in self.split(chunk.decode())]
+            found = words[0] if len(words) == 1 else (b"".join([w[0] for w in words]), b"".join([w[1] for w in words]))
         if len(chunk) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[chunk] = found
+            self.cache.keep(chunk, found)
         return found
 
     def encode_joined(self, text: bytes) -> tuple[int, bytes, bytes]:
@@ -120,6 +166,12 @@ class BpeCodec:
         return ids.count(b" "), ids[:-1], b"".join([f[1] for f in found])[:-1]
 
 
+@lru_cache(1)
+def codec_of(path: str) -> BpeCodec:
+    """The codec of a Python worker, with what it remembers from earlier tasks."""
+    return BpeCodec(path)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -148,7 +200,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     at = path or tokenizer_path("word_bpe_49k.json")
 
     def make():
-        codec = BpeCodec(at)
+        codec = codec_of(at)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [codec.encode_joined(t) for t in as_bytes(batch.column(1))]

@@ -52,6 +52,33 @@ def test_bpe_equals_the_library(docs, odd):
         assert got == want
 
 
+def test_bpe_remembers_what_recurs(monkeypatch):
+    """Words that recur are merged once however many others come between; what is remembered is bounded and as right as what is not."""
+    merged = Counter()
+
+    def counted(symbols, *rest, merge=bpe.merge_word):
+        merged[tuple(symbols)] += 1
+        return merge(symbols, *rest)
+
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(bpe, "merge_word", counted)
+    path = common.tokenizer_path("word_bpe_49k.json")
+    codec, whole, rng = bpe.BpeCodec(path), Tokenizer.from_file(path), random.Random(2)
+    odd = ["Frequent", "frequent,", "H\u0331\u00c9", "\u0130\u03a3", "it's", "''s", "<|endoftext|>x", "a<|b", "\u65e5\u672c1", "-" * 80]
+    for _ in range(40):
+        words = [w for k in range(15) for w in ("frequent", "w" + "".join(rng.choices("abcdefgh", k=9)), odd[(k + rng.randrange(3)) % len(odd)])]
+        text = " ".join(words)
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == ids
+        n, shown, spelled = codec.encode_joined(text.encode())
+        assert (n, shown.decode(), spelled.decode()) == (len(ids), " ".join(map(str, ids)), whole.decode(ids, skip_special_tokens=False))
+        assert len(codec.cache) <= 50
+    merged.clear()
+    text = " ".join(f"frequent q{''.join(rng.choices('abcdefgh', k=9))}" for _ in range(500))
+    codec.encode_joined(text.encode())
+    assert len(merged) > 400 and max(merged.values()) <= 2
+
+
 def test_bpe_keeps_columns(odd, empty):
     assert bpe.encode_digests(empty).count() == 0
     made = bpe.encode_texts(odd)
